@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import mixing, quality, sharding
+from corvid.llm import bpe, mixing, quality, sharding
 from corvid.llm.common import documents
 
 
+def op2_byte_bpe(spark, sf_dir):
+    """Encode every whole text with a public byte-level vocabulary and decode it again."""
+    import public_tokenizers
+
+    raw = bpe.vocabulary_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(documents(spark, sf_dir), raw, public_tokenizers.PATTERN)
+
+
 def op5_mixing(spark, sf_dir):
     """Mix all documents: words taken per document and the training position of its first use."""
     return mixing.mix(documents(spark, sf_dir)).withColumn("position", F.round("position", 6))
@@ -23,7 +31,7 @@ def op9_sharding(spark, sf_dir):
     return sharding.assign(documents(spark, sf_dir)).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_mixing, op6_quality_rules, op9_sharding)}
 ORACLE: dict[str, str] = {}
 
 
