@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import bpe, mixing, quality, sharding
+from corvid.llm import bpe, mixing, quality, sharding, simhash
 from corvid.llm.common import documents
 
 
@@ -16,6 +16,11 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), raw, public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark, sf_dir):
+    """Near-duplicate classes of all documents by SimHash."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_mixing(spark, sf_dir):
     """Mix all documents: words taken per document and the training position of its first use."""
     return mixing.mix(documents(spark, sf_dir)).withColumn("position", F.round("position", 6))
@@ -31,7 +36,7 @@ def op9_sharding(spark, sf_dir):
     return sharding.assign(documents(spark, sf_dir)).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_mixing, op6_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op9_sharding)}
 ORACLE: dict[str, str] = {}
 
 
