@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import bpe, digest, mixing, quality, sharding, simhash
+from corvid.llm import bpe, digest, mixing, quality, sharding, simhash, suffixes
 from corvid.llm.common import documents
 
 
@@ -36,12 +36,17 @@ def op7_fingerprints(spark, sf_dir):
     return digest.compare_edited(documents(spark, sf_dir))
 
 
+def op8_suffix_array(spark, sf_dir):
+    """Remove the bytes of all 200-byte strings that start more than once."""
+    return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_sharding(spark, sf_dir):
     """All documents in 40 shards by balanced label propagation."""
     return sharding.assign(documents(spark, sf_dir)).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding)}
 ORACLE: dict[str, str] = {}
 
 
