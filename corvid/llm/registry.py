@@ -4,10 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import bpe, digest, mixing, quality, sharding, simhash, suffixes
+from corvid.llm import bpe, digest, lines, mixing, quality, sharding, simhash, suffixes
 from corvid.llm.common import documents
 
 
+def op1_line_dedup(spark, sf_dir):
+    """Later copies of repeated line runs per document."""
+    return lines.report(documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, u.i AS line, u.x FROM (
+    SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM documents)
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY seq) AS y FROM s
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, seq) AS k FROM w WHERE y IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, seq FROM r WHERE k > 1 UNION ALL SELECT doc_id, seq + 1 FROM r WHERE k > 1)
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (d) AS n_runs
+  FROM (SELECT doc_id, seq - lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) IS DISTINCT FROM 1 AS d FROM g) GROUP BY doc_id
+), kept AS (
+  SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) AS t
+  FROM l LEFT JOIN s USING (doc_id, line) LEFT JOIN g ON g.doc_id = s.doc_id AND g.seq = s.seq WHERE g.seq IS NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(runs.n_removed, 0) AS n_removed, coalesce(runs.n_runs, 0) AS n_runs,
+  sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_byte_bpe(spark, sf_dir):
     """Encode every whole text with a public byte-level vocabulary and decode it again."""
     import public_tokenizers
@@ -46,8 +77,8 @@ def op9_sharding(spark, sf_dir):
     return sharding.assign(documents(spark, sf_dir)).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding)}
+ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL}
 
 
 def queries() -> dict:
