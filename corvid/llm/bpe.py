@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 1_000_000
+#: Distinct runs of text whose ids a worker remembers, and half as many pieces; a memory is emptied when full.
+REMEMBERED = 300_000
 
 
 class Vocabulary:
