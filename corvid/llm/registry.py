@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import bpe, digest, lines, mixing, quality, sharding, simhash, suffixes
+from corvid.llm import bpe, digest, licenses, lines, mixing, quality, sharding, simhash, suffixes
 from corvid.llm.common import documents
 
 
@@ -77,7 +77,12 @@ def op9_sharding(spark, sf_dir):
     return sharding.assign(documents(spark, sf_dir)).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding)}
+def op10_license_scan(spark, sf_dir):
+    """License texts and notices in all documents."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding, op10_license_scan)}
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL}
 
 
