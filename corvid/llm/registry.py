@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import bpe, digest, licenses, lines, mixing, quality, sharding, simhash, suffixes
+from corvid.llm import bpe, digest, licenses, lines, mixing, paragraphs, quality, sharding, simhash, suffixes
 from corvid.llm.common import documents
 
 
@@ -47,6 +47,11 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), raw, public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark, sf_dir):
+    """Paragraphs and passages that repeat across documents, per document."""
+    return paragraphs.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op4_simhash(spark, sf_dir):
     """Near-duplicate classes of all documents by SimHash."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -82,7 +87,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_substring_dedup, op4_simhash, op5_mixing, op6_quality_rules, op7_fingerprints, op8_suffix_array, op9_sharding, op10_license_scan)}
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL}
 
 
