@@ -29,8 +29,10 @@ from corvid.llm.common import scratch
 
 LENGTH, START = 200, 50
 REACH = LENGTH - START
-#: Different surroundings of a bucket that one task refines at once.
-LIMIT = 8192
+#: Different surroundings of a bucket that one task refines at once (300 bytes each); larger buckets are split first.
+LIMIT = 1 << 17
+#: Rows and strings that a task works on together.
+GATHER, AT_ONCE = 4096, 1 << 20
 PIECE = 1 << 18
 _SIZE = PIECE + (1 << 16)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +133,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """Sampled suffixes: rows (key, place, bucket, around)."""
+    """Sampled suffixes: rows (key, place, last, bucket, around).
+
+    Of those with the same surroundings in a batch, two stand for all; the others are known to repeat and leave as
+    runs from ``place`` to before ``last`` (elsewhere the same as ``place``), under buckets of their own.
+    """
+    schema = "key long, place int, last int, bucket long, around long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,24 +146,51 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 256)
                 key = part.column(0).to_numpy()
                 got = list(sampled([t.encode() for t in part.column(1).to_pylist()]))
-                if got:
-                    columns = [np.repeat(key[[w for w, *_ in got]], [len(p) for _, p, *_ in got]), *(np.concatenate([g[k] for g in got]) for k in (1, 2, 3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "place", "bucket", "around"])
-
-    return keyed(docs).select("key", "text").mapInArrow(run, "key long, place int, bucket long, around long")
+                if not got:
+                    continue
+                who = np.repeat([w for w, *_ in got], [len(p) for _, p, *_ in got])
+                place, bucket, around = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+                order = np.lexsort((around, bucket))
+                same = np.r_[False, (bucket[order][1:] == bucket[order][:-1]) & (around[order][1:] == around[order][:-1])]
+                more = np.zeros(len(who), bool)
+                more[order] = same & np.r_[False, same[:-1]]  # the third and later ones
+                far = np.flatnonzero(more)
+                far = far[np.lexsort((place[far], who[far]))]
+                w, p = who[far], place[far]
+                # surroundings that touch make one run
+                new = np.r_[True, (w[1:] != w[:-1]) | (p[1:] > p[:-1] + LENGTH + REACH)][: len(p)]
+                first = np.flatnonzero(new)
+                end = np.r_[first[1:], len(p)][: len(first)] - 1
+                stay = ~more
+                columns = [
+                    np.r_[key[who[stay]], key[w[first]]],
+                    np.r_[place[stay], p[first]],
+                    np.r_[place[stay], p[end] + 1],
+                    np.r_[bucket[stay], pair(key[w[first]].view(np.uint64), p[first].astype(np.uint64)).view(np.int64)],
+                    np.r_[around[stay], np.zeros(len(first), np.int64)],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
+
+    return keyed(docs).select("key", "text").mapInArrow(run, schema)
 
 
 FULL, SINGLE, OTHER = 0, 1, 2
 
 
+JUDGED = "key long, place int, last int, bucket long, kind int"
+
+
 def scan(found: DataFrame, hold: int = 1 << 17) -> DataFrame:
-    """Rows (key, place, bucket, kind) of buckets with more than one suffix.
+    """Rows (key, place, last, bucket, kind) of buckets with more than one suffix.
 
     FULL: another suffix has the same surroundings, all of which repeat. SINGLE: to be refined against the other
     surroundings of its bucket. OTHER: one of several with the same surroundings, for such refinement only.
-    Buckets are read in sorted order; a large one is passed on in parts.
+    Buckets are read in sorted order; a large one is passed on in parts. Runs are FULL as they come.
     """
 
+    def batch(key, place, last, bucket, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, place, last, bucket, kind.astype(np.int32))], names=[x.split()[0] for x in JUDGED.split(", ")])
+
     def judge(key, place, bucket, around, more) -> pa.RecordBatch:
         """``more``: the first bucket had other surroundings before."""
         new_b = np.r_[True, bucket[1:] != bucket[:-1]]
@@ -168,13 +202,17 @@ def scan(found: DataFrame, hold: int = 1 << 17) -> DataFrame:
         several = kinds[of] > 1
         full, single, other = n > 1, (n == 1) & several, (n > 1) & several & new_a
         pick = np.r_[np.flatnonzero(full), np.flatnonzero(single), np.flatnonzero(other)]
-        kind = np.repeat(np.array([FULL, SINGLE, OTHER], np.int32), [full.sum(), single.sum(), other.sum()])
-        return pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(place[pick]), pa.array(bucket[pick]), pa.array(kind)], names=["key", "place", "bucket", "kind"])
+        kind = np.repeat(np.array([FULL, SINGLE, OTHER]), [full.sum(), single.sum(), other.sum()])
+        return batch(key[pick], place[pick], place[pick], bucket[pick], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, more = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)], False
         for b in batches:
-            held = [np.r_[x, c.to_numpy(zero_copy_only=False)] for x, c in zip(held, b.columns)]
+            key, place, last, bucket, around = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            runs = last > place
+            if runs.any():
+                yield batch(key[runs], place[runs], last[runs] - 1, bucket[runs], np.full(runs.sum(), FULL))
+            held = [np.r_[x, c[~runs]] for x, c in zip(held, (key, place, bucket, around))]
             if len(held[0]) < hold:
                 continue
             end = int(np.searchsorted(held[2], held[2][-1]))
@@ -188,12 +226,12 @@ def scan(found: DataFrame, hold: int = 1 << 17) -> DataFrame:
                     held, more = [x[end:] for x in held], True
                 if len(held[0]) > 2:  # these repeat; two stay to stand for them
                     key, place, bucket = (x[2:] for x in held[:3])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(bucket), pa.array(np.full(len(key), FULL, np.int32))], names=["key", "place", "bucket", "kind"])
+                    yield batch(key, place, place, bucket, np.full(len(key), FULL))
                     held = [x[:2] for x in held]
         if len(held[0]):
             yield judge(*held, more)
 
-    return found.repartition("bucket").sortWithinPartitions("bucket", "around").mapInArrow(run, "key long, place int, bucket long, kind int")
+    return found.repartition("bucket").sortWithinPartitions("bucket", "around").mapInArrow(run, JUDGED)
 
 
 #: Rows to refine: the known bytes lie ``lo`` before to ``hi`` from the place on; strings start ``least`` to ``most`` before it.
@@ -221,13 +259,30 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def strings(table: pa.Table, refine: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For STATE rows: the row and the offset of every string, and its identifier (with its bucket).
+    """For STATE rows: the row and the offset of every string, and its identifier (with its bucket and offset).
 
-    With ``refine``, those alone in their bucket are dropped at 100 and at 200 bytes.
+    With ``refine``, those alone in their bucket are dropped at 100 and at 200 bytes. Only strings of one offset can
+    be equal, so the offsets are worked through in turn.
     """
     get = lambda n: table.column(n).to_numpy()
     around = table.column("around").to_pylist()
-    bucket = get("bucket").view(np.uint64)
+    back, least, most, bucket = get("back"), get("least"), get("most"), get("bucket").view(np.uint64)
+    step = max(1, min(LENGTH, AT_ONCE // max(1, len(around))))
+    found = [_strings(around, back, np.maximum(least, lo), np.minimum(most, lo + step - 1), bucket, refine) for lo in range(0, REACH + 1, step)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def shared(h: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    same = s[1:] == s[:-1]
+    keep = np.zeros(len(h), bool)
+    keep[order[1:][same]] = keep[order[:-1][same]] = True
+    return keep
+
+
+def _strings(around, back, least, most, bucket, refine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, offs, ids = [], [], []
     at = 0
     while at < len(around):
@@ -236,10 +291,9 @@ def strings(table: pa.Table, refine: bool = True) -> tuple[np.ndarray, np.ndarra
             size += len(around[end])
             end += 1
         length = np.array([len(x) for x in around[at:end]])
-        back = get("back")[at:end]
-        middle = np.cumsum(length) - length + back
-        first = np.maximum(get("least")[at:end], LENGTH - (length - back))
-        last = np.minimum(get("most")[at:end], back)
+        middle = np.cumsum(length) - length + back[at:end]
+        first = np.maximum(least[at:end], LENGTH - (length - back[at:end]))
+        last = np.minimum(most[at:end], back[at:end])
         n = np.maximum(last - first + 1, 0)
         row = np.repeat(np.arange(end - at), n)
         off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
@@ -253,15 +307,6 @@ def strings(table: pa.Table, refine: bool = True) -> tuple[np.ndarray, np.ndarra
         at = end
     row, off = np.concatenate(rows), np.concatenate(offs)
     h, later = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
-
-    def shared(h):
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        keep = np.zeros(len(h), bool)
-        keep[order[1:][same]] = keep[order[:-1][same]] = True
-        return keep
-
     if refine:
         keep = shared(h)
         row, off, h, later = row[keep], off[keep], h[keep], later[keep]
@@ -297,7 +342,7 @@ def solve(states: DataFrame) -> DataFrame:
 
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) < LIMIT // 2:
+            if sum(x.num_rows for x in held) < GATHER:
                 continue
             table = pa.Table.from_batches(held)
             bucket = table.column("bucket").to_numpy()
@@ -354,7 +399,7 @@ def repeated_spans(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, Data
     judged = scratch(scan(suffixes(docs)), "suffixes")
     texts = keyed(docs)
     full = judged.filter(F.col("kind") == FULL).select(
-        "key", F.shiftleft(F.greatest(F.col("place") - REACH, F.lit(0)).cast("long"), 32).bitwiseOR((F.col("place") + LENGTH).cast("long")).alias("span")
+        "key", F.shiftleft(F.greatest(F.col("place") - REACH, F.lit(0)).cast("long"), 32).bitwiseOR((F.col("last") + LENGTH).cast("long")).alias("span")
     )
     wanted = judged.filter(F.col("kind") != FULL).select("key", "place", "bucket", (F.col("kind") == SINGLE).alias("single"))
     large = scratch(wanted.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket"), "large-buckets")
