@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvid.plans import retrieval_queries, text_queries  # noqa: F401  each registers its queries
 from corvid.plans.queries import ORACLE, QUERIES
 
 
@@ -14,4 +15,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+    """From question variants to evidence."""
+    return retrieval_queries.search_evidence(spark, sf_dir)
