@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvid import config
 
 #: White space as Python's str.isspace has it; Java's own classes miss some of it.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def text(c: Column | str) -> Column:
@@ -128,6 +128,12 @@ def chapter_value(c: Column | str) -> Column:
     return F.when(c.rlike(r"^[Ⅰ-Ⅻ]\z"), F.instr(F.lit("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ"), c)).when(c.rlike(r"^[IVXLC]+\z"), roman_to_int(c)).otherwise(c.try_cast("int"))
 
 
+def heading_number(c: Column | str) -> Column:
+    """A number in digits, or a Hangul ordinal; null for others."""
+    c = text(c)
+    return F.coalesce(c.try_cast("int"), F.nullif(hangul_ordinal(c), F.lit(0)))
+
+
 def unquote(c: Column | str) -> Column:
     """A quoted value without its quotes and escapes."""
     c = strip(c)
