@@ -18,6 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as the needed columns and one of all others, and what selects the original columns from it.
+
+    An operator that carries columns along works on the packed form, so no name can clash with its own.
+    """
+    quoted = lambda c: F.col(f"`{c}`")
+    others = [c for c in docs.columns if c not in needed]
+    rest = F.struct(*map(quoted, others)) if others else F.lit(None).cast("string")
+    return docs.select(*map(quoted, needed), rest.alias("_rest")), [quoted(c) if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,8 +9,8 @@ deletions are one maximal run. What is alone in its bucket leaves the doubling a
 
 Defined cases: a null text is empty; lines without a word are never deleted and don't interrupt a run; a null
 doc_id comes last; rows repeated in full are one document and get the same result; documents of which every line
-with a word is deleted are dropped by ``dedup``; an empty table gives an empty result; extra columns are carried
-along (names starting with an underscore are reserved).
+with a word is deleted are dropped by ``dedup``; an empty table gives an empty result; extra columns, whatever their
+names, are carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import scratch
+from corvid.llm.common import packed, scratch
 
 LEAST = 2
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -81,8 +81,9 @@ def without(text: str, gone: list[int]) -> str:
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` without later copies of runs of at least ``least`` lines, and without documents left without words."""
-    rows = marked(docs, least)
-    names = docs.columns
+    slim, columns = packed(docs, "doc_id", "text")
+    rows = marked(slim, least)
+    names = slim.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +93,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
             columns = [pa.array(new, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
-    return rows.select(*names, "_gone").mapInArrow(run, docs.schema)
+    return rows.select(*names, "_gone").mapInArrow(run, slim.schema).select(*columns)
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -111,5 +112,5 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
-    rows = marked(docs, least).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_gone")
+    rows = marked(docs.select("doc_id", "text"), least).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_gone")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")

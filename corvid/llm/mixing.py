@@ -6,7 +6,7 @@ gives the document's training position, and documents are range-sorted by positi
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, ordered last;
 an empty table gives an empty result; rows repeated in full are taken as rows of their own, side by side;
-extra columns are carried along (names starting with an underscore are reserved).
+extra columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import n_words, running_total, scratch, spread
+from corvid.llm.common import n_words, packed, running_total, scratch, spread
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -115,7 +115,8 @@ def mixed_documents(docs: DataFrame, *, share: float = 1.5, most: int = 2, weigh
     """
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = F.md5(F.concat_ws("\x1f", F.when(F.col("doc_id").isNull(), "n").otherwise("i"), some("doc_id"), F.when(F.col("source").isNull(), "n").otherwise("s"), some("source"), some("text")).cast("binary"))
-    keyed = docs.withColumn("_key", key)
+    slim, columns = packed(docs, "doc_id", "text", "source")
+    keyed = slim.withColumn("_key", key)
     sized = keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_key")
     rows = plan(sized, share=share, most=most, weights=weights, shapes=shapes)
     uses = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter(
@@ -125,5 +126,5 @@ def mixed_documents(docs: DataFrame, *, share: float = 1.5, most: int = 2, weigh
     uses = uses.select("_key", when.alias("_position"))
     # rows repeated in full are one text with several uses
     return (
-        keyed.dropDuplicates(["_key"]).join(uses, "_key").repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(*docs.columns)
+        keyed.dropDuplicates(["_key"]).join(uses, "_key").repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(*columns)
     )

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import WORD, checked_broadcast, scratch
+from corvid.llm.common import WORD, checked_broadcast, packed, scratch
 
 WINDOW = 5  # words
 MIN_WORDS = 10
@@ -103,8 +103,9 @@ def judge(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) ->
 
 def clean(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) -> DataFrame:
     """The kept documents, without the lines above the limit; columns as they came."""
+    slim, columns = packed(docs, "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_host", host(F.col("source"))).withColumn("_text", text)
+    keyed = slim.withColumn("_host", host(F.col("source"))).withColumn("_text", text)
     split = F.filter(F.split("_text", "\n"), lambda x: x.rlike(A_WORD))
     lines = keyed.select("_host", F.xxhash64("_text").alias("_text_id"), F.transform(split, lambda x: F.struct(line_hash(x).alias("h"))).alias("_lines"))
     common = scratch(common_lines(lines, share, least), "common-lines")
@@ -113,4 +114,4 @@ def clean(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) ->
     rows = verdict(rows.join(checked_broadcast(common, 10_000), "_host", "left")).filter("kept")
     stays = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~(x.rlike(A_WORD) & F.array_contains("_common", line_hash(x)))), "\n")
     rows = rows.withColumn("_new", F.when(F.col("n_removed_lines") > 0, stays).otherwise(F.col("_text")))
-    return rows.select(*(F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return rows.withColumn("text", F.col("_new")).select(*columns)

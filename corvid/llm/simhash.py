@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import components, scratch
+from corvid.llm.common import components, packed, scratch
 
 SHINGLE = 4
 BITS = 4
@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> D
 def keep_one(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> DataFrame:
     """``docs`` with one document of each class: the smallest doc_id (nulls last), of that the smallest text hash."""
     row = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("i"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"))
-    keyed = docs.withColumn("_row", row)
+    slim, columns = packed(docs, "doc_id", "text")
+    keyed = slim.withColumn("_row", row)
     fps = scratch(fingerprints(keyed, size, keep=("_row",)), "simhash")
     least = fps.groupBy("fp").agg(F.min("_row").alias("_row")).join(classes(fps, most), "fp")
     stay = least.groupBy("class_fp").agg(F.min("_row").alias("_row")).select("_row")
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
