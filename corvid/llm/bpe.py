@@ -14,31 +14,41 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct runs of text whose ids a worker remembers, and half as many pieces; a memory is emptied when full.
-REMEMBERED = 300_000
+#: Distinct runs of text (a third as many pieces) in the younger of a memory's two halves. When it is full the
+#: older half is forgotten; what is met again moves to the younger one.
+REMEMBERED = 400_000
 
 
 class Vocabulary:
     """Ranks of byte strings, with what the dynamic program asks of them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+        if any(bytes([k]) not in ranks for k in range(256)):
+            raise ValueError("the vocabulary lacks a byte")
+        self.remembered = remembered
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.endings = {t[k:] for t in ranks for k in range(len(t))}
+        #: Every ending of a token: the token that it is, or -1.
+        self.endings = {t[k:]: -1 for t in ranks for k in range(1, len(t))} | ranks
+        #: The same for endings of one and of two bytes, by their value; None where there is none.
+        self.one = [ranks[bytes([k])] for k in range(256)]
+        self.two = [self.endings.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self._edges: dict[int, tuple] = {}
-        self._apart: dict[int, bool] = {}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
-    def parse(cls, raw: bytes) -> Vocabulary:
+    def parse(cls, raw: bytes, remembered: int = REMEMBERED) -> Vocabulary:
         """From lines of a base64 token and its rank."""
-        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)})
+        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}, remembered)
 
     def merge(self, piece: bytes) -> tuple[list[int], list, list]:
         """Plain merging of a token's own bytes by lowest rank, leftmost first.
@@ -74,10 +84,10 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether ``right`` can be the token after ``left``; remembered."""
-        if (known := self._apart.get(key := left << 32 | right)) is None:
-            if len(self._apart) >= REMEMBERED:
-                self._apart.clear()
-            known = self._apart[key] = self.stands_alone(right) and self.stays_apart(left, right)
+        if (known := self.apart.get(key := left << 32 | right)) is None:
+            if len(self.apart) >= self.remembered:
+                self.apart.clear()
+            known = self.apart[key] = self.stands_alone(right) and self.stays_apart(left, right)
         return known
 
     def stays_apart(self, left: int, right: int) -> bool:
@@ -96,6 +106,36 @@ class Vocabulary:
                 k += 1
 
 
+def extend(v: Vocabulary, data: bytes, last: list[int], start: int) -> None:
+    """Add to ``last`` the last token of each prefix of ``data`` longer than ``start``."""
+    endings, apart, one, two = v.endings.get, v.apart.get, v.one, v.two
+    for end in range(start + 1, len(data) + 1):
+        at = end - 1
+        found = [(at, one[data[at]])]
+        if at and (token := two[data[at - 1] << 8 | data[at]]) is not None:
+            at -= 1
+            if token >= 0:
+                found.append((at, token))
+            at -= 1
+            while at >= 0 and (token := endings(data[at:end])) is not None:
+                if token >= 0:
+                    found.append((at, token))
+                at -= 1
+        for at, token in reversed(found):
+            if not at:
+                if v.stands_alone(token):
+                    last.append(token)
+                    break
+                continue
+            before = last[at - 1]
+            known = apart(before << 32 | token)
+            if known or known is None and v.follows(before, token):
+                last.append(token)
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+
+
 class PrefixTable:
     """The last token of every prefix of a byte string, kept up to date under appends and edits."""
 
@@ -103,25 +143,10 @@ class PrefixTable:
         self.v, self.data, self.last = vocabulary, bytearray(), []
         self.append(data)
 
-    def _last_of(self, data: bytes, last: list[int], end: int) -> int:
-        v, found, start = self.v, [], end - 1
-        while start >= 0 and (part := data[start:end]) in v.endings:
-            token = v.ranks.get(part)
-            if token is not None:
-                found.append((start, token))
-            start -= 1
-        while found:
-            start, token = found.pop()
-            if v.follows(last[start - 1], token) if start else v.stands_alone(token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
         start = len(self.data)
         self.data += more
-        data = bytes(self.data)
-        for end in range(start + 1, len(data) + 1):
-            self.last.append(self._last_of(data, self.last, end))
+        extend(self.v, bytes(self.data), self.last, start)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of bytes ``start`` to ``stop``; returns how many prefixes were recomputed."""
@@ -129,8 +154,8 @@ class PrefixTable:
         data = bytes(self.data[:start] + new + self.data[stop:])
         last, agreed, done = old[:start], 0, 0
         for end in range(start + 1, len(data) + 1):
-            token = self._last_of(data, last, end)
-            last.append(token)
+            extend(self.v, data[:end], last, end - 1)
+            token = last[-1]
             done += 1
             # behind the edit: the same bytes and the same last tokens so far lead to the same ones from here on
             agreed = agreed + 1 if end - self.v.longest >= start + len(new) and old[end - shift - 1] == token else 0
@@ -141,49 +166,70 @@ class PrefixTable:
         return done
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(self.v.bytes_of[token])
-        return out[::-1]
+        return read_back(self.v, self.last)
 
 
-class Pieces(dict):
-    """Ids of pieces as little-endian 32-bit integers, each piece computed once while it is remembered."""
+def read_back(v: Vocabulary, last: list[int]) -> list[int]:
+    """The ids of the longest prefix."""
+    out, end = [], len(last)
+    while end:
+        token = last[end - 1]
+        out.append(token)
+        end -= v.length[token]
+    return out[::-1]
 
-    def __init__(self, vocabulary: Vocabulary):
+
+class Memory(dict):
+    """Packed ids of strings, the younger half itself, the older in ``old``."""
+
+    def __init__(self, size: int):
         super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, text: str) -> bytes | None:
+        packed = self.old.get(text)
+        if packed is None:
+            packed = self.compute(text)
+            if packed is None or len(text) > 64:
+                return packed
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[text] = packed
+        return packed
+
+    def compute(self, text: str) -> bytes | None:
+        raise NotImplementedError
+
+
+class Pieces(Memory):
+    """Ids of pieces as little-endian 32-bit integers."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.remembered // 3)
         self.v = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.v.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.v, data).ids()
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(data) <= 64:
-            if len(self) >= REMEMBERED // 2:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def compute(self, text: str) -> bytes:
+        data, v = text.encode(), self.v
+        whole = v.ranks.get(data)
+        if whole is not None:
+            return array("I", (whole,)).tobytes()
+        last: list[int] = []
+        extend(v, data, last, 0)
+        return array("I", read_back(v, last)).tobytes()
 
 
-class Runs(dict):
+class Runs(Memory):
     """Ids of runs between single spaces, which no match of the pattern spans; None where that isn't so."""
 
     def __init__(self, pieces: Pieces, pattern, lead: str):
-        super().__init__()
+        super().__init__(pieces.v.remembered)
         self.pieces, self.pattern, self.lead = pieces, pattern, lead
 
-    def __missing__(self, run: str) -> bytes | None:
-        if not run or run[0].isspace() or run[-1].isspace():
+    def compute(self, text: str) -> bytes | None:
+        if not text or text[0].isspace() or text[-1].isspace():
             return None
-        packed = b"".join([self.pieces[m] for m in self.pattern.findall(self.lead + run)])
-        if len(run) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = packed
-        return packed
+        return b"".join([self.pieces[m] for m in self.pattern.findall(self.lead + text)])
 
 
 class Encoder:
@@ -215,17 +261,24 @@ class Encoder:
         return b"".join([self.pieces[m] for m in self.pattern.findall(text)])
 
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, object] = {}
 
 
-def _loaded(raw: bytes, pattern: str):
-    """Encoder and decoder table of this Python worker."""
-    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
+def _loaded(raw: bytes, pattern: str, remembered: int = REMEMBERED) -> Encoder:
+    """The encoder of this Python worker."""
+    key = f"{hashlib.sha256(raw + pattern.encode()).hexdigest()} {remembered}"
     if key not in _LOADED:
         import regex
 
-        v = Vocabulary.parse(raw)
-        _LOADED[key] = (Encoder(v, regex.compile(pattern)), {i: t for t, i in v.ranks.items()})
+        _LOADED[key] = Encoder(Vocabulary.parse(raw, remembered), regex.compile(pattern))
+    return _LOADED[key]
+
+
+def _table(raw: bytes) -> dict[int, bytes]:
+    """Bytes by id."""
+    key = hashlib.sha256(raw).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = {int(b): base64.b64decode(a) for a, b in (line.split() for line in raw.splitlines() if line)}
     return _LOADED[key]
 
 
@@ -233,7 +286,7 @@ def decode_ids(packed: bytes, table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, memoryview(packed).cast("I"))) if packed else b""
 
 
-def encode(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
     """Columns ``keep``, ids (binary, little-endian unsigned 32-bit) and n_tokens per row.
 
     ``raw`` is the content of a vocabulary file (a fixed size, under 1 MB) and travels with the task.
@@ -242,7 +295,7 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids binary, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _loaded(raw, pattern)
+        encoder = _loaded(raw, pattern, remembered)
         for b in batches:
             for at in range(0, b.num_rows, 64):  # bounds what is held at once
                 part = b.slice(at, 64)
@@ -259,7 +312,7 @@ def decode(encoded: DataFrame, raw: bytes, ids: str = "ids", keep: tuple[str, ..
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = _loaded(raw, "")
+        table = _table(raw)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
