@@ -40,7 +40,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each use of a document; ids_sha256 and decoded_sha256 are digests of the ids and of what they decode to."""
     raw = bpe.vocabulary_file(public_tokenizers.path(VOCABULARY))
     keep = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, raw, public_tokenizers.PATTERN, keep=keep)
+    # workers live on between stages: fewer pieces are remembered than where encoding is all they do
+    encoded = bpe.encode(docs, raw, public_tokenizers.PATTERN, keep=keep, remembered=100_000)
     back = bpe.decode(encoded, raw, keep=(*keep, "n_tokens", "ids"))
     return back.select(*keep, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
