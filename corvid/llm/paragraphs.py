@@ -269,27 +269,80 @@ def links(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
     return small.union(blocks).repartition("band").sortWithinPartitions("band").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """All units, and those whose cluster is in several documents: rows (key, start, end, cluster, first)."""
+def shared_runs(runs: DataFrame) -> DataFrame:
+    """Of rows (uid, key, doc, start, end) those whose uid has more than one key, read in sorted order."""
+    names = ["uid", "key", "doc", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)] * 2, None  # known: the first uid has several keys
+        out = lambda keep: pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in held], names=names)
+        for b in [*batches, None]:
+            if b is not None:
+                held = [np.r_[x, c.to_numpy(zero_copy_only=False)] for x, c in zip(held, b.columns)]
+            if not len(held[0]):
+                continue
+            uid, key = held[0], held[1]
+            group = np.cumsum(np.r_[False, uid[1:] != uid[:-1]])
+            other = np.r_[False, (key[1:] != key[:-1]) & (uid[1:] == uid[:-1])]
+            several = np.bincount(group, weights=other) > 0
+            several[0] |= known == uid[0]
+            keep = several[group]
+            if b is not None and not several[-1]:
+                keep[group == group[-1]] = False  # these wait for more of their uid
+            yield out(keep)
+            known = uid[-1] if several[-1] else None
+            stay = (group == group[-1]) & (b is not None and not several[-1])
+            held = [x[stay] for x in held]
+
+    return runs.select(*names).repartition("uid").sortWithinPartitions("uid", "key").mapInArrow(run, "uid long, key long, doc long, start int, end int")
+
+
+def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The units whose cluster is in several documents: rows (key, start, end, cluster, first)."""
     table = scratch(unit_table(docs), "units")
     found = components(links(docs, table, block), "paragraph-links")
-    named = table.select("key", "doc", "start", "end", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid"))
+    rows = table.filter("kind = 0").select("uid", "key", "doc", "start", "end").union(shared_runs(table.filter("kind = 1")))
+    named = rows.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid")).drop("component")
+    named = scratch(named, "clusters")
     of = named.groupBy("cluster").agg(F.min("doc").alias("_doc"), F.min("key").alias("_low"), F.max("key").alias("_high")).filter("_low <> _high")
     several = named.join(of, "cluster")
     # of documents with one doc_id the least key is first
     first = several.filter("doc = _doc").groupBy("cluster").agg(F.min("key").alias("_key"))
-    return table, several.join(first, "cluster").select("key", "start", "end", "cluster", (F.col("key") == F.col("_key")).alias("first"))
+    return several.join(first, "cluster").select("key", "start", "end", "cluster", (F.col("key") == F.col("_key")).alias("first"))
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_linked (units with a copy in another document), n_removed (of these, removed),
-    n_spans and removed_bytes (removed text), clusters (ids of the clusters, ascending), kept_sha256, kept."""
-    _, found = repeats(docs, block)
-    lists = found.groupBy("key").agg(
+def lists_of(found: DataFrame) -> DataFrame:
+    return found.groupBy("key").agg(
         F.count("*").alias("n_linked"),
         F.collect_set(F.when(~F.col("first"), F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long")))).alias("spans"),
         F.sort_array(F.collect_set("cluster")).alias("clusters"),
     )
+
+
+def report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per document, without its text: doc_id, n_linked (units with a copy in another document), n_removed
+    (of these, to be removed), n_spans, removed_bytes, spans (start, end: bytes, ascending), clusters (their ids)."""
+    schema = "doc_id long, n_linked long, n_removed long, n_spans long, removed_bytes long, spans array<struct<start:long,end:long>>, clusters array<long>"
+    pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = [*[pa.int64()] * 5, pa.list_(pair), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, n, spans, clusters in zip(*(c.to_pylist() for c in b.columns)):
+                runs = merged(spans or [], 1 << 32)
+                out.append((i, n or 0, len(spans or []), len(runs), sum(e - s for s, e in runs), [{"start": s, "end": e} for s, e in runs], clusters or []))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_linked", "n_removed", "n_spans", "removed_bytes", "spans", "clusters"])
+
+    ids = keyed(docs).select("key", "doc_id")
+    return ids.join(lists_of(repeats(docs, block)), "key", "left").select("doc_id", "n_linked", "spans", "clusters").mapInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_linked (units with a copy in another document), n_removed (of these, removed),
+    n_spans and removed_bytes (removed text), clusters (ids of the clusters, ascending), kept_sha256, kept."""
+    lists = lists_of(repeats(docs, block))
     schema = "doc_id long, n_linked long, n_removed long, n_spans long, removed_bytes long, clusters array<long>, kept_sha256 string, kept string"
     kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.string(), pa.string()]
 

@@ -49,7 +49,7 @@ def op2_byte_bpe(spark, sf_dir):
 
 def op3_substring_dedup(spark, sf_dir):
     """Paragraphs and passages that repeat across documents, per document."""
-    return paragraphs.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return paragraphs.report(documents(spark, sf_dir))
 
 
 def op4_simhash(spark, sf_dir):

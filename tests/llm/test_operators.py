@@ -195,6 +195,8 @@ def test_substring_dedup(spark, block):
     assert {k for k in got if got[k].n_linked} == {0, 1, 3, 5, 7, 9, 15}
     assert {k for k in got if got[k].n_removed} == {5, 7, 9, 15}
     assert set(got[1].clusters) & set(got[5].clusters) & set(got[9].clusters)
+    short = {r.doc_id: r for r in paragraphs.report(frame(spark, texts), block).collect()}
+    assert all((short[k].n_linked, short[k].n_removed, short[k].removed_bytes, short[k].clusters) == (g.n_linked, g.n_removed, g.removed_bytes, g.clusters) for k, g in got.items())
     assert got[15].kept == "" and got[0].removed_bytes == 0 and got[3].removed_bytes == 0
 
 
