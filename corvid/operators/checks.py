@@ -12,18 +12,26 @@ from corvid import config
 from corvid.functions import text as T
 
 
-def coverage(needles: DataFrame, docs: DataFrame) -> DataFrame:
+#: Needles that one broadcast may hold.
+FEW = 2000
+
+
+def coverage(needles: DataFrame, docs: DataFrame, few: int = FEW) -> DataFrame:
     """Rows (item_id, doc_id): the folded needle is in the folded document.
 
-    Candidates meet on the needle's first 12 folded characters, an equi-join on the documents' shingles of that
-    length; containment is then verified. Only needles of at least 12 folded characters are looked for.
+    Up to FEW needles are broadcast and looked for in one pass. More of them meet their candidates on their first 12
+    folded characters, an equi-join on the documents' shingles of that length, and are then verified. Only needles
+    of at least 12 folded characters are looked for.
     """
     n = 12
     sought = needles.select("item_id", T.fold("text").alias("needle")).filter(F.length("needle") >= n).withColumn("gram", F.substring("needle", 1, n))
     folded = docs.select("doc_id", T.fold("text").alias("hay")).filter(F.length("hay") >= n)
+    if sought.limit(few + 1).count() <= few:
+        return folded.join(F.broadcast(sought), F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
     starts = F.sequence(F.lit(1), F.length("hay") - n + 1)
-    grams = folded.select("doc_id", "hay", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("hay"), i, F.lit(n))))).alias("gram"))
-    return grams.join(sought, "gram").filter(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
+    grams = folded.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("hay"), i, F.lit(n))))).alias("gram"))
+    met = grams.join(sought.select("item_id", "gram"), "gram").select("item_id", "doc_id").distinct()
+    return met.join(sought, "item_id").join(folded, "doc_id").filter(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
 def body_findings(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvid import config
 from corvid.functions import text as T
+from corvid.functions.store import stored
 
 
 def chunks(blocks: Column, most: int = config.MAX_CHARS, least: int = config.MIN_CHARS) -> Column:
@@ -127,14 +128,16 @@ def units(docs: DataFrame, least: int = config.MIN_CHARS, most: int = config.MAX
     lines = markdown_lines(docs)
     heads = headings(lines)
     summary = F.col("text").startswith(config.UNIT_SUMMARY) | F.col("text").startswith(config.REPORT_SUMMARY)
-    text = lines.filter(~summary).withColumnRenamed("line", "_l").withColumnRenamed("doc_id", "_d")
-    own = heads.join(text, (F.col("_d") == F.col("doc_id")) & (F.col("_l") > F.col("line")) & (F.col("_l") < F.col("body_end")), "left")
-    direct = own.groupBy("doc_id", "hid").agg(F.length(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_l", "text"))), lambda x: x["text"]), "\n"))).alias("direct"))
-    heads = heads.join(direct, ["doc_id", "hid"])
+    # each line belongs to the last heading before it
+    at = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    marks = lines.join(heads.select("doc_id", "line", "hid"), ["doc_id", "line"], "left").withColumn("_own", F.last("hid", True).over(at))
+    own = marks.filter(F.col("_own").isNotNull() & F.col("hid").isNull() & ~summary)
+    direct = own.groupBy("doc_id", F.col("_own").alias("hid")).agg(F.length(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n"))).alias("direct"))
+    heads = stored(heads.join(direct, ["doc_id", "hid"], "left").withColumn("direct", F.coalesce("direct", F.lit(0))))
     below = heads.select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"), F.col("direct").alias("_n"))
     sub = heads.join(below, (F.col("_d") == F.col("doc_id")) & (F.col("_l") >= F.col("line")) & (F.col("_l") < F.col("end_line")))
     sub = sub.groupBy("doc_id", "hid").agg(F.sum("_n").alias("sub"), (F.count("*") > 1).alias("has_children"))
-    heads = heads.join(sub, ["doc_id", "hid"])
+    heads = stored(heads.join(sub, ["doc_id", "hid"]))
     whole = (F.col("sub") <= most) | ~F.col("has_children")
     active = heads.filter(F.col("parent").isNull() & ~((F.col("depth") == 1) & T.excluded_chapter("title")))
     out = None

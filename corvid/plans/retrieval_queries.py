@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvid import config
 from corvid.functions import text as T
+from corvid.functions.store import stored
 from corvid.operators import retrieval as R
 from corvid.operators import sections as S
 from corvid.operators import sync
@@ -44,6 +45,11 @@ def index(spark, sf_dir):
     return S.index_rows(table(spark, sf_dir, "documents"))
 
 
+def stored_index(spark, sf_dir):
+    """The index as a stored table, as retrieval reads it: chunked once, scanned for hits, counts and lengths."""
+    return stored(index(spark, sf_dir))
+
+
 @query("q_flat_chunks", CHUNKS + "SELECT doc_id, k::INTEGER AS k, body FROM chunk")
 def flat_chunks(spark, sf_dir):
     return S.flat_sections(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "k", "body")
@@ -121,22 +127,22 @@ LISTS = [*PLAIN, (3, "nicht", "fold"), (4, "the of", "fold"), (5, "Lic ense", "f
 
 @query("q_bm25_plain", bm25_sql([(0, "nicht", "plain")]) + "SELECT section_id, f, n, score, rank FROM bm")
 def bm25_plain(spark, sf_dir):
-    return R.bm25(index(spark, sf_dir), ["nicht"]).filter("path = 'plain'").select("section_id", "f", "n", "score", "rank")
+    return R.bm25(stored_index(spark, sf_dir), ["nicht"]).filter("path = 'plain'").select("section_id", "f", "n", "score", "rank")
 
 
 @query("q_bm25_fold", bm25_sql([(0, "the of", "fold")]) + "SELECT section_id, f, n, score, rank FROM bm")
 def bm25_fold(spark, sf_dir):
-    return R.bm25(index(spark, sf_dir), ["the of"]).filter("path = 'fold'").select("section_id", "f", "n", "score", "rank")
+    return R.bm25(stored_index(spark, sf_dir), ["the of"]).filter("path = 'fold'").select("section_id", "f", "n", "score", "rank")
 
 
 @query("q_bm25_weighted", bm25_sql(LISTS) + "SELECT * FROM bm")
 def bm25_weighted(spark, sf_dir):
-    return R.bm25(index(spark, sf_dir), VARIANTS)
+    return R.bm25(stored_index(spark, sf_dir), VARIANTS)
 
 
 @query("q_variant_counts", bm25_sql(LISTS, 10**9) + "SELECT variant, path, max(n) AS hits FROM bm GROUP BY variant, path")
 def variant_counts(spark, sf_dir):
-    return R.bm25(index(spark, sf_dir), VARIANTS).groupBy("variant", "path").agg(F.max("n").alias("hits"))
+    return R.bm25(stored_index(spark, sf_dir), VARIANTS).groupBy("variant", "path").agg(F.max("n").alias("hits"))
 
 
 ADMIT = values("v", ("el",), ("a b",), ("ab c",), ("abc",), ("   ",), ("공유",), ("공 유 지",))
@@ -149,7 +155,7 @@ def variant_admission(spark, sf_dir):
 
 
 def fused(spark, sf_dir, penalty: bool):
-    rows = index(spark, sf_dir)
+    rows = stored_index(spark, sf_dir)
     return R.rrf(R.bm25(rows, VARIANTS), rows.filter("summary = ''").select("section_id") if penalty else None)
 
 
@@ -177,7 +183,7 @@ def top_n(spark, sf_dir):
 @query("q_search_evidence")
 def search_evidence(spark, sf_dir):
     """The whole question-to-evidence plan: variants, two paths, fusion, the best eight, their evidence."""
-    rows = index(spark, sf_dir)
+    rows = stored_index(spark, sf_dir)
     best = R.rrf(R.bm25(rows, VARIANTS), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
     return R.deliver(rows.join(F.broadcast(best.select("section_id", "position")), "section_id"), VARIANTS).join(F.broadcast(best), "section_id")
 

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvid-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from corvid.functions.store import shared_folder
 
 
 def run_to_table(spark: SparkSession, rows: DataFrame, operator, name: str) -> DataFrame:

@@ -121,3 +121,12 @@ def test_incremental_equals_rebuild(spark):
 def test_citations(spark):
     rows = spark.createDataFrame([(1, "근거(보고서-1_c2s3)와 x_c1, x_c1")], "id int, answer string")
     assert {r.section_id for r in R.citations(rows).collect()} == {"보고서-1_c2s3", "x_c1"}
+
+
+def test_coverage_by_either_way(spark):
+    from corvid.operators import checks
+
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "over the qu ick brown"), (3, "")], "doc_id long, text string")
+    needles = spark.createDataFrame([(1, "quick  brown fox"), (2, "the quick brown"), (3, "short")], "item_id long, text string")
+    for few in (10, 0):
+        assert {tuple(r) for r in checks.coverage(needles, docs, few).collect()} == {(1, 1), (2, 1), (2, 2)}
