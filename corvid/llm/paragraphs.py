@@ -1,13 +1,15 @@
 """Substring dedup: paragraph MinHash banding.
 
-Paragraphs are lines of at least 25 words. Their sets of five-word shingles get MinHash signatures in 8 bands of 3
+Paragraphs are lines of at least 25 words, and shorter lines in a row that make 25 words together; a document of
+under 50 words is a paragraph as a whole, too (under 25 words, it is compared by its word sequence). Their sets of five-word shingles get MinHash signatures in 8 bands of 3
 rows: a pair of Jaccard similarity 0.8 meets in a band with probability 0.997. Distinct paragraphs that collide are
 verified by their exact Jaccard similarity, linked within their bucket by a spanning forest, and components become
-clusters. For passages inside long paragraphs, runs of 16 words at winnowed places (the least three-word hash of 24
-in a row) are paragraphs of their own with one band, the run itself; any passage of 50 words holds one. Of each
+clusters. For passages anywhere in a document, within or across lines, runs of 16 words at winnowed places (the least
+three-word hash of 24 in a row) are paragraphs of their own with one band, the run itself; any passage of 50 words
+holds one. Of each
 cluster the first document (by doc_id) keeps its text, the other documents lose theirs.
 
-Texts are compared in lower case (A-Z). Defined cases: a null text is empty; shorter lines are never touched; what
+Texts are compared in lower case (A-Z). Defined cases: a null text is empty; what
 repeats only within a document stays; a null doc_id comes last; texts with equal (doc_id, text) are one document;
 an empty table gives an empty result; extra columns are not read.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import components, scratch
-from corvid.llm.suffixes import PIECE, Hashes, keyed, merged, mix, pair, slide
+from corvid.llm.suffixes import _UP, PIECE, Hashes, keyed, merged, mix, pair, slide
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 3
@@ -74,21 +76,37 @@ def lines_of(data: bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.r_[first[1:], len(line)][: len(first)]
 
 
+def joined(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines as paragraphs: short lines in a row of one text (``of``) are one."""
+    short = b - a < LEAST
+    first = np.flatnonzero(np.r_[True, ~(short[1:] & short[:-1]) | (of[1:] != of[:-1])][: len(a)])
+    return a[first], np.r_[a[first[1:]], b[-1:]][: len(first)]
+
+
 def units(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Columns who, start, end (bytes), kind (0 paragraph, 1 run), uid and bands (a row each; runs have none)."""
+    """Columns who, start, end (bytes), kind (0 paragraph, 1 run or tiny text), uid and bands (kind 1 has none)."""
     data = b"\n".join(texts).translate(_LOWER)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     start, end, h = words(data)
     a, b = lines_of(data, start)
-    n = b - a
-    big = n >= LEAST
-    pa_, pb = a[big], b[big]
+    text = np.searchsorted(begin, start, "right") - 1
+    a, b = joined(a, b, text[a])
+    da = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][: len(text)])
+    db = np.r_[da[1:], len(text)][: len(da)]
+    tiny = db - da < LEAST
+    # a short text is a paragraph besides those in it, unless it is one of them
+    small = ~tiny & (db - da < LONG) & (b[np.searchsorted(a, da)] != db)
+    big = b - a >= LEAST
+    pa_, pb = np.r_[a[big], da[small]], np.r_[b[big], db[small]]
+    order = np.argsort(pa_, kind="stable")
+    pa_, pb = pa_[order], pb[order]
     whole = np.empty(len(pa_), np.uint64)
     raw = np.frombuffer(data, np.uint8)
+    reach = np.maximum.accumulate(end[pb - 1])
     i = 0
     while i < len(pa_):
-        j = max(i + 1, int(np.searchsorted(end[pb - 1], start[pa_[i]] + PIECE, "right")))
-        lo, hi = start[pa_[i]], end[pb[j - 1] - 1]
+        j = max(i + 1, int(np.searchsorted(reach, start[pa_[i]] + PIECE, "right")))
+        lo, hi = start[pa_[i]], reach[j - 1]
         if hi - lo > PIECE:
             whole[i] = int.from_bytes(hashlib.blake2b(data[lo:hi], digest_size=8).digest(), "little")
         else:
@@ -98,8 +116,8 @@ def units(texts: list[bytes]) -> dict[str, np.ndarray]:
     bands = np.empty((len(pa_), BANDS), np.uint64)
     if len(pa_):
         cuts = np.ravel(np.column_stack([pa_, pb - SHINGLE + 1]))
-        cuts = cuts[:-1] if cuts[-1] >= len(shingles) else cuts
-        least = [np.minimum.reduceat((shingles ^ (m >> np.uint64(7))) * m, cuts)[::2] for m in _MULTIPLY]
+        padded = np.r_[shingles, np.uint64(0)]  # a cut may be after the last
+        least = [np.minimum.reduceat((padded ^ (m >> np.uint64(7))) * m, cuts)[::2] for m in _MULTIPLY]
         for k in range(BANDS):
             name = np.full(len(pa_), k + 1, np.uint64)
             for m in least[k * ROWS : (k + 1) * ROWS]:
@@ -107,22 +125,29 @@ def units(texts: list[bytes]) -> dict[str, np.ndarray]:
             bands[:, k] = name
     grams = mix(chain(h, GRAM))
     run = np.empty(0, np.int64)
-    long = n >= LONG
+    long = db - da >= RUN + GRAM - 1
     if long.any() and len(grams) >= RUN:
         low = slide(grams, RUN, np.minimum)
         ok, fits = np.zeros(len(low) + 1, np.int32), np.zeros(len(h) + 1, np.int32)
-        np.add.at(ok, a[long], 1)
-        np.add.at(ok, np.minimum(b[long] - RUN - GRAM + 2, len(low)), -1)
-        np.add.at(fits, a[long], 1)
-        np.add.at(fits, b[long] - SEGMENT + 1, -1)
+        np.add.at(ok, da[long], 1)
+        np.add.at(ok, np.minimum(db[long] - RUN - GRAM + 2, len(low)), -1)
+        np.add.at(fits, da[long], 1)
+        np.add.at(fits, db[long] - SEGMENT + 1, -1)
         low[np.cumsum(ok)[:-1] == 0] = 0
         top = slide(np.r_[np.zeros(RUN - 1, np.uint64), low, np.zeros(RUN - 1, np.uint64)], RUN, np.maximum)
         run = np.flatnonzero((top == grams[: len(top)]) & (top > 0) & (np.cumsum(fits)[: len(top)] > 0))
-    s = np.r_[start[pa_], start[run]]
-    e = np.r_[end[pb - 1], end[run + SEGMENT - 1]]
+    ta, tb = da[tiny], db[tiny]
+    place = np.arange(len(h)) - np.repeat(da, db - da)
+    inside = np.repeat(tiny, db - da)
+    tiny_uid = np.zeros(0, np.uint64)
+    if len(ta):
+        sums = np.add.reduceat(h[inside] * _UP[place[inside]], np.flatnonzero(place[inside] == 0))
+        tiny_uid = pair(mix(sums), (tb - ta).astype(np.uint64))
+    s = np.r_[start[pa_], start[run], start[ta]]
+    e = np.r_[end[pb - 1], end[run + SEGMENT - 1], end[tb - 1]]
     who = np.searchsorted(begin, s, "right") - 1
-    uid = np.r_[whole, chain(h, SEGMENT)[run] if len(run) else np.empty(0, np.uint64)]
-    kind = np.r_[np.zeros(len(pa_), np.int32), np.ones(len(run), np.int32)]
+    uid = np.r_[whole, chain(h, SEGMENT)[run] if len(run) else np.empty(0, np.uint64), tiny_uid]
+    kind = np.r_[np.zeros(len(pa_), np.int32), np.ones(len(run) + len(ta), np.int32)]
     return {"who": who, "start": (s - begin[who]).astype(np.int32), "end": (e - begin[who]).astype(np.int32), "kind": kind, "uid": uid.view(np.int64), "bands": bands.view(np.int64)}
 
 

@@ -200,6 +200,19 @@ def test_substring_dedup(spark, block):
     assert got[15].kept == "" and got[0].removed_bytes == 0 and got[3].removed_bytes == 0
 
 
+def test_substring_dedup_across_lines(spark):
+    rng = random.Random(16)
+    cut = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    lists, tiny, notes, passage = cut(words(rng, 160), 14), cut(words(rng, 9), 4), words(rng, 30) + "\n" + words(rng, 8), words(rng, 90)
+    near = lists.split(" ")
+    near[70] = "edited"
+    texts = [words(rng, 200) for _ in range(3)] + [lists, tiny, notes, cut(words(rng, 40) + " " + passage, 12)]
+    texts += [lists, tiny, notes, cut(passage + " " + words(rng, 70), 7), " ".join(near), words(rng, 3), words(rng, 27)]
+    got = {r.doc_id: r for r in paragraphs.remove_repeats(frame(spark, texts), 2048).collect()}
+    assert {k for k in got if got[k].n_removed} == {7, 8, 9, 10, 11}
+    assert [got[k].kept.strip() for k in (7, 8, 9, 11)] == [""] * 4
+
+
 # --- native operators --------------------------------------------------------------------------------------------
 
 
