@@ -6,7 +6,8 @@ rows: a pair of Jaccard similarity 0.8 meets in a band with probability 0.997. D
 verified by their exact Jaccard similarity, linked within their bucket by a spanning forest, and components become
 clusters. For passages anywhere in a document, within or across lines, runs of 16 words at winnowed places (the least
 three-word hash of 24 in a row) are paragraphs of their own with one band, the run itself; any passage of 50 words
-holds one. Of each
+holds one. A shared run is extended word by word, on each side as far as some earlier document with the run goes on
+alike, up to 23 words; the runs of a passage are so close that their extensions meet and make up all of it. Of each
 cluster the first document (by doc_id) keeps its text, the other documents lose theirs.
 
 Texts are compared in lower case (A-Z). Defined cases: a null text is empty; what
@@ -31,6 +32,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 3
 LEAST = 25
 LONG, SEGMENT, GRAM, RUN = 50, 16, 3, 24
+#: Words looked at on each side of a shared run; beyond, the passage holds another run.
+REACH = RUN - 1
 #: Distinct paragraphs of a bucket above which it is cut into blocks of this size.
 BLOCK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -322,11 +325,100 @@ def shared_runs(runs: DataFrame) -> DataFrame:
     return runs.select(*names).repartition("uid").sortWithinPartitions("uid", "key").mapInArrow(run, "uid long, key long, doc long, start int, end int")
 
 
+def around(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with the hashes (before, after; outwards) and the outer ends (lo, hi; bytes) of the words around."""
+    wanted = runs.groupBy("key", "doc").agg(F.sort_array(F.collect_set(F.struct("start", "end", "uid"))).alias("wanted"))
+    schema = "uid long, key long, doc long, start int, end int, before array<int>, after array<int>, lo array<int>, hi array<int>"
+
+    def lists(x: np.ndarray, at: np.ndarray, n: np.ndarray, step: int) -> pa.ListArray:
+        """The ``n`` values from ``at`` on, in steps."""
+        edge = np.r_[0, np.cumsum(n)]
+        index = np.repeat(at, n) + step * (np.arange(edge[-1]) - np.repeat(edge[:-1], n))
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x[index]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                key, doc, text, rows = (b.column(k)[at] for k in range(4))
+                first, last, h = words(text.as_py().encode().translate(_LOWER))
+                short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                first, last = first.astype(np.int32), last.astype(np.int32)
+                every = rows.values.flatten()
+                for k in range(0, len(rows), 4096):
+                    start, end, uid = (c.slice(k, 4096) for c in every)
+                    a, z = np.searchsorted(first, start.to_numpy()), np.searchsorted(last, end.to_numpy()) + 1
+                    before, after = np.minimum(a, REACH), np.minimum(len(h) - z, REACH)
+                    n = len(a)
+                    columns = [uid, pa.array(np.full(n, key.as_py())), pa.array(np.full(n, doc.as_py())), start, end]
+                    columns += [lists(short, a - 1, before, -1), lists(short, z, after, 1), lists(first, a - 1, before, -1), lists(last, z, after, 1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    return keyed(docs).join(wanted, "key").select("key", "doc", "text", "wanted").mapInArrow(run, schema)
+
+
+def alike(uid: np.ndarray, key: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the ``n`` words of each row are those of an earlier row with the uid and another key."""
+    out, at, name = np.zeros(len(uid), np.int64), np.arange(len(uid)), uid.view(np.uint64)
+    for j in range(words.shape[1]):
+        ok = n[at] > j
+        at, name = at[ok], pair(name[ok], words[at[ok], j])
+        _, first, group, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        out[at[key[at[first]][group] != key[at]]] = j + 1
+        at, name = at[count[group] > 1], name[count[group] > 1]
+        if not len(at):
+            break
+    return out
+
+
+def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Shared runs (uid, key, doc, start, end) with start and end moved outwards as far as an earlier copy goes on.
+
+    They are read in sorted order. Of a uid that goes on in the next batch, the different surroundings are held.
+    """
+
+    def table(lists: pa.ListArray, fill: type) -> tuple[np.ndarray, np.ndarray]:
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros((len(n), REACH), fill)
+        out[np.arange(REACH) < n[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None  # uid, key, words before and how many, after and how many; the row before this batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uid, key, doc, start, end = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            # of rows repeated in full one is taken
+            place = np.column_stack([uid, key, start])
+            new = np.r_[last is None or (place[0] != last).any(), (place[1:] != place[:-1]).any(axis=1)]
+            last = place[-1]
+            if not new.any():
+                continue
+            (before, n), (after, m), (lo, _), (hi, _) = (table(b.column(k), t) for k, t in ((5, np.int32), (6, np.int32), (7, np.int64), (8, np.int64)))
+            now = [x[new] for x in (uid, key, before, n, after, m)]
+            old = 0 if held is None else len(held[0])
+            every = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            wide = lambda x: x.view(np.uint32).astype(np.uint64)
+            left, right = (alike(every[0], every[1], wide(every[k]), every[k + 1])[old:] for k in (2, 4))
+            uid, key, doc, start, end, lo, hi = (x[new] for x in (uid, key, doc, start, end, lo, hi))
+            row = np.arange(len(uid))
+            start = np.where(left > 0, lo[row, np.maximum(left, 1) - 1], start).astype(np.int32)
+            end = np.where(right > 0, hi[row, np.maximum(right, 1) - 1], end).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, key, doc, start, end)], names=["uid", "key", "doc", "start", "end"])
+            stay = np.flatnonzero(every[0] == uid[-1])
+            context = np.ascontiguousarray(np.column_stack([*(every[k][stay] for k in (2, 4)), every[3][stay], every[5][stay]]))
+            stay = stay[np.sort(np.unique(context.view(f"V{context.shape[1] * context.itemsize}").ravel(), return_index=True)[1])]
+            held = [x[stay] for x in every]
+
+    rows = around(docs, runs).repartition("uid").sortWithinPartitions("uid", "doc", "key", "start")
+    return rows.mapInArrow(run, "uid long, key long, doc long, start int, end int")
+
+
 def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The units whose cluster is in several documents: rows (key, start, end, cluster, first)."""
     table = scratch(unit_table(docs), "units")
     found = components(links(docs, table, block), "paragraph-links")
-    rows = table.filter("kind = 0").select("uid", "key", "doc", "start", "end").union(shared_runs(table.filter("kind = 1")))
+    rows = table.filter("kind = 0").select("uid", "key", "doc", "start", "end").union(extended(docs, scratch(shared_runs(table.filter("kind = 1")), "shared-runs")))
     named = rows.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid")).drop("component")
     named = scratch(named, "clusters")
     of = named.groupBy("cluster").agg(F.min("doc").alias("_doc"), F.min("key").alias("_low"), F.max("key").alias("_high")).filter("_low <> _high")
@@ -339,6 +431,7 @@ def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def lists_of(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(
         F.count("*").alias("n_linked"),
+        F.count_if(~F.col("first")).alias("n_removed"),
         F.collect_set(F.when(~F.col("first"), F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long")))).alias("spans"),
         F.sort_array(F.collect_set("cluster")).alias("clusters"),
     )
@@ -354,14 +447,14 @@ def report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, n, spans, clusters in zip(*(c.to_pylist() for c in b.columns)):
+            for i, n, gone, spans, clusters in zip(*(c.to_pylist() for c in b.columns)):
                 runs = merged(spans or [], 1 << 32)
-                out.append((i, n or 0, len(spans or []), len(runs), sum(e - s for s, e in runs), [{"start": s, "end": e} for s, e in runs], clusters or []))
+                out.append((i, n or 0, gone or 0, len(runs), sum(e - s for s, e in runs), [{"start": s, "end": e} for s, e in runs], clusters or []))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_linked", "n_removed", "n_spans", "removed_bytes", "spans", "clusters"])
 
     ids = keyed(docs).select("key", "doc_id")
-    return ids.join(lists_of(repeats(docs, block)), "key", "left").select("doc_id", "n_linked", "spans", "clusters").mapInArrow(run, schema)
+    return ids.join(lists_of(repeats(docs, block)), "key", "left").select("doc_id", "n_linked", "n_removed", "spans", "clusters").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -375,14 +468,14 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 out = []
-                for _, i, text, n, spans, clusters in zip(*(b.slice(at, 256).column(k).to_pylist() for k in range(6))):
+                for _, i, text, n, gone, spans, clusters in zip(*(b.slice(at, 256).column(k).to_pylist() for k in range(7))):
                     data, kept, last = text.encode(), [], 0
                     runs = merged(spans or [], len(data))
                     for start, end in runs:
                         kept.append(data[last:start])
                         last = end
                     rest = b"".join([*kept, data[last:]])
-                    out.append((i, n or 0, len(spans or []), len(runs), len(data) - len(rest), clusters or [], hashlib.sha256(rest).hexdigest(), rest.decode()))
+                    out.append((i, n or 0, gone or 0, len(runs), len(data) - len(rest), clusters or [], hashlib.sha256(rest).hexdigest(), rest.decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return keyed(docs).join(lists, "key", "left").select("key", "doc_id", "text", "n_linked", "spans", "clusters").mapInArrow(run, schema)
+    return keyed(docs).join(lists, "key", "left").select("key", "doc_id", "text", "n_linked", "n_removed", "spans", "clusters").mapInArrow(run, schema)

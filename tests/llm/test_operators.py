@@ -213,6 +213,27 @@ def test_substring_dedup_across_lines(spark):
     assert [got[k].kept.strip() for k in (7, 8, 9, 11)] == [""] * 4
 
 
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(17)
+    passages = [words(rng, n) for n in (50, 51, 64, 90, 200)]
+    texts, inside = [], []
+    for k in range(20):
+        mine = rng.sample(range(5), 2)
+        own = [words(rng, rng.randint(60, 90)) for _ in range(3)]  # so that no line is near another
+        texts.append(f"{own[0]} {passages[mine[0]]}\n{own[1]} {passages[mine[1]]} {own[2]}")
+        inside.append((mine, own))
+    # documents 20 to 22: the first copy of a run needn't hold most of the passage
+    a, b, c = words(rng, 55), words(rng, 30), words(rng, 70)
+    texts += [a, f"{words(rng, 90)} {b} {a} {c}", f"{words(rng, 80)} {b} {a} {c}"]
+    got = {r.doc_id: r for r in paragraphs.remove_repeats(frame(spark, texts), 2048).collect()}
+    seen = set()
+    for k, (mine, own) in enumerate(inside):
+        rest = [own[0], *([] if mine[0] in seen else [passages[mine[0]]]), own[1], *([] if mine[1] in seen else [passages[mine[1]]]), own[2]]
+        assert got[k].kept.split() == " ".join(rest).split()
+        seen |= set(mine)
+    assert got[20].removed_bytes == 0 and len(got[21].kept.split()) == 190 and len(got[22].kept.split()) == 80
+
+
 # --- native operators --------------------------------------------------------------------------------------------
 
 
