@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corvid.llm import bpe, lines, mixing, quality, simhash
 from corvid.llm.common import documents, scratch
 
+#: Words of a line that goes as a later copy even if no line beside it is repeated.
+LONG_LINE = 50
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -22,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents that consist of them."""
-    return lines.dedup(docs)
+    """Later copies of repeated line runs and of long lines go, and documents that consist of them."""
+    return lines.dedup(docs, single=LONG_LINE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ name of the h lines after them make the name of its first 2h lines, so the names
 lines are there after log2(least) rounds; suffixes with equal names are the intervals of the suffix array whose
 common prefix is at least that long, and deeper doubling would not change what such intervals cover. In each
 interval the first suffix in order of (doc_id, line) stays and the lines of the later ones are deleted; touching
-deletions are one maximal run. What is alone in its bucket leaves the doubling at once.
+deletions are one maximal run. What is alone in its bucket leaves the doubling at once. With ``single``, later copies
+of single lines of at least so many words are deleted, too, whatever stands around them.
 
 Defined cases: a null text is empty; lines without a word are never deleted and don't interrupt a run; a null
 doc_id comes last; rows repeated in full are one document and get the same result; documents of which every line
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import packed, scratch
+from corvid.llm.common import n_words, packed, scratch
 
 LEAST = 2
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -32,12 +33,14 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Rows (_key, _doc, line, seq, a, b): lines with a word, ``seq`` counting them and ``line`` all lines."""
+def line_table(docs: DataFrame, single: int | None = None) -> DataFrame:
+    """Rows (_key, _doc, line, seq, a, b): lines with a word, ``seq`` counting them and ``line`` all lines; with
+    ``single`` also _alone, whether the line has that many words."""
     split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     rows = with_key(docs).select("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.filter(split, lambda s: s["x"].rlike(A_WORD)).alias("_lines"))
     rows = rows.select("_key", "_doc", F.posexplode("_lines").alias("seq", "_l"))
-    return rows.select("_key", "_doc", F.col("_l.line").alias("line"), "seq", F.xxhash64("_l.x").alias("a"), F.xxhash64(F.lit("2"), "_l.x").alias("b"))
+    alone = [] if single is None else [(n_words(F.col("_l.x")) >= single).alias("_alone")]
+    return rows.select("_key", "_doc", F.col("_l.line").alias("line"), "seq", F.xxhash64("_l.x").alias("a"), F.xxhash64(F.lit("2"), "_l.x").alias("b"), *alone)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -52,24 +55,32 @@ def longer(rows: DataFrame, shift: int) -> DataFrame:
     return both.withColumn("_c", F.xxhash64("a", "b", "_a", "_b")).withColumn("b", F.xxhash64(F.lit("2"), "_b", "b", "_a", "a")).withColumn("a", F.col("_c")).drop("_a", "_b", "_c")
 
 
-def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def later(names: DataFrame, length: int) -> DataFrame:
+    """Rows (_key, seq): lines of the runs of ``length`` lines whose name an earlier run has."""
+    first = names.groupBy("a", "b").agg(F.min(F.struct("_doc", "_key", "seq")).alias("_first"))
+    again = names.join(first, ["a", "b"]).filter(F.struct("_doc", "_key", "seq") > F.col("_first"))
+    return again.select("_key", F.explode(F.sequence("seq", F.col("seq") + (length - 1))).alias("seq"))
+
+
+def deletions(docs: DataFrame, least: int = LEAST, single: int | None = None) -> DataFrame:
     """Rows (_key, _gone): the numbers of the lines to delete, ascending."""
-    lines = scratch(line_table(docs), "lines")
+    lines = scratch(line_table(docs, single), "lines")
+    alone = None if single is None else later(shared(lines.filter("_alone").drop("line", "_alone")), 1)
+    lines = lines.drop("_alone")
     names, h = shared(lines).drop("line"), 1
     while 2 * h <= least:
         names, h = shared(scratch(longer(names, h), "line-names")), 2 * h
     if h < least:
         names = shared(scratch(longer(names, least - h), "line-names"))
-    first = names.groupBy("a", "b").agg(F.min(F.struct("_doc", "_key", "seq")).alias("_first"))
-    later = names.join(first, ["a", "b"]).filter(F.struct("_doc", "_key", "seq") > F.col("_first"))
-    covered = later.select("_key", F.explode(F.sequence("seq", F.col("seq") + (least - 1))).alias("seq")).distinct()
+    covered = later(names, least)
+    covered = (covered if alone is None else covered.union(alone)).distinct()
     gone = covered.join(lines.select("_key", "seq", "line").distinct(), ["_key", "seq"])
     return gone.groupBy("_key").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
 
 
-def marked(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def marked(docs: DataFrame, least: int = LEAST, single: int | None = None) -> DataFrame:
     """``docs`` with _gone."""
-    return with_key(docs).join(deletions(docs, least), "_key", "left").drop("_key")
+    return with_key(docs).join(deletions(docs, least, single), "_key", "left").drop("_key")
 
 
 def without(text: str, gone: list[int]) -> str:
@@ -79,10 +90,11 @@ def without(text: str, gone: list[int]) -> str:
     return "\n".join([x for k, x in enumerate(text.split("\n")) if k not in out])
 
 
-def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without later copies of runs of at least ``least`` lines, and without documents left without words."""
+def dedup(docs: DataFrame, least: int = LEAST, single: int | None = None) -> DataFrame:
+    """``docs`` without later copies of runs of at least ``least`` lines and, with ``single``, of lines of so many
+    words, and without documents left without words."""
     slim, columns = packed(docs, "doc_id", "text")
-    rows = marked(slim, least)
+    rows = marked(slim, least, single)
     names = slim.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

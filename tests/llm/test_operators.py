@@ -179,6 +179,16 @@ def test_line_dedup(spark, least):
             assert (new[k] or "") == rest
 
 
+def test_later_copies_of_long_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    long, short, two = words(rng, 50), words(rng, 49), words(rng, 5) + "\n" + words(rng, 5)
+    texts = [long, f"{words(rng, 9)}\n{short}\n{two}", words(rng, 60), f"one\n{long}\ntwo", f"three\n{short}\nfour", long, f"{two}\nfive\n{long}"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: "one\ntwo", 4: texts[4], 6: "five"}
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_substring_dedup(spark, block):
     rng = random.Random(6)
