@@ -15,40 +15,60 @@ import base64
 import hashlib
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct runs of text (a third as many pieces) in the younger of a memory's two halves. When it is full the
-#: older half is forgotten; what is met again moves to the younger one.
-REMEMBERED = 400_000
+#: Bytes, roughly, of what a worker remembers of runs of text, and a quarter as much of pieces; halves of it are
+#: forgotten in turn.
+REMEMBERED = 64 << 20
+#: Pieces longer than this are encoded on their own; shorter ones together, position by position.
+TOGETHER = 192
+#: Characters of text that are worked on together.
+GROUP = 1 << 20
+#: Slots of the table of token pairs (a power of two); a pair forgets the one that had its slot.
+PAIRS_BITS = 20
 
 
 class Vocabulary:
     """Ranks of byte strings, with what the dynamic program asks of them."""
 
-    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+    def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([k]) not in ranks for k in range(256)):
             raise ValueError("the vocabulary lacks a byte")
-        self.remembered = remembered
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.length = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        #: Every ending of a token: the token that it is, or -1.
-        self.endings = {t[k:]: -1 for t in ranks for k in range(1, len(t))} | ranks
-        #: The same for endings of one and of two bytes, by their value; None where there is none.
-        self.one = [ranks[bytes([k])] for k in range(256)]
-        self.two = [self.endings.get(bytes([a, b])) for a in range(256) for b in range(256)]
+        self.length = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, t in self.bytes_of.items():
+            self.length[i] = len(t)
+        #: The trie by depth: sorted keys (parent's place << 8 | byte) and the token that each node is, or -1.
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        places = {b"": 0}
+        for depth in range(1, self.longest + 1):
+            nodes = sorted({t[:depth] for t in ranks if len(t) >= depth})
+            keys = np.fromiter((places[t[:-1]] << 8 | t[-1] for t in nodes), np.int64, len(nodes))
+            self.levels.append((keys, np.fromiter((ranks.get(t, -1) for t in nodes), np.int64, len(nodes))))
+            places = {t: k for k, t in enumerate(nodes)}
         self._edges: dict[int, tuple] = {}
-        self.apart: dict[int, bool] = {}
+        #: Per token whether it stands alone (-1: not known yet); slots of pairs of tokens and whether they stay apart.
+        self.alone = np.full(len(self.length), -1, np.int8)
+        self.pairs = np.full(1 << PAIRS_BITS, -1, np.int64)
+        self.apart = np.zeros(1 << PAIRS_BITS, np.bool_)
+
+    @cached_property
+    def endings(self) -> dict[bytes, int]:
+        """Every ending of a token: the token that it is, or -1."""
+        return {t[k:]: -1 for t in self.ranks for k in range(1, len(t))} | self.ranks
 
     @classmethod
-    def parse(cls, raw: bytes, remembered: int = REMEMBERED) -> Vocabulary:
+    def parse(cls, raw: bytes) -> Vocabulary:
         """From lines of a base64 token and its rank."""
-        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}, remembered)
+        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)})
 
     def merge(self, piece: bytes) -> tuple[list[int], list, list]:
         """Plain merging of a token's own bytes by lowest rank, leftmost first.
@@ -82,13 +102,27 @@ class Vocabulary:
     def stands_alone(self, token: int) -> bool:
         return self.edges(token)[0]
 
+    def all_alone(self, tokens: np.ndarray) -> np.ndarray:
+        """``stands_alone`` of each."""
+        for token in np.unique(tokens[self.alone[tokens] < 0]).tolist():
+            self.alone[token] = self.stands_alone(token)
+        return self.alone[tokens] > 0
+
     def follows(self, left: int, right: int) -> bool:
-        """Whether ``right`` can be the token after ``left``; remembered."""
-        if (known := self.apart.get(key := left << 32 | right)) is None:
-            if len(self.apart) >= self.remembered:
-                self.apart.clear()
-            known = self.apart[key] = self.stands_alone(right) and self.stays_apart(left, right)
-        return known
+        """Whether ``right`` can be the token after ``left``."""
+        return self.stands_alone(right) and self.stays_apart(left, right)
+
+    def all_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``follows`` of each pair; remembered by slot."""
+        key = left << 32 | right
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIRS_BITS)).view(np.int64)
+        out, new = self.apart[slot], np.flatnonzero(self.pairs[slot] != key)
+        if len(new):
+            keys, where = np.unique(key[new], return_inverse=True)
+            ok = np.fromiter((self.follows(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()), np.bool_, len(keys))
+            out[new] = ok[where]
+            self.pairs[slot[new]], self.apart[slot[new]] = key[new], out[new]
+        return out
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether two tokens side by side stay two tokens: no merge across comes before those within."""
@@ -108,19 +142,13 @@ class Vocabulary:
 
 def extend(v: Vocabulary, data: bytes, last: list[int], start: int) -> None:
     """Add to ``last`` the last token of each prefix of ``data`` longer than ``start``."""
-    endings, apart, one, two = v.endings.get, v.apart.get, v.one, v.two
+    endings, known = v.endings.get, {}
     for end in range(start + 1, len(data) + 1):
-        at = end - 1
-        found = [(at, one[data[at]])]
-        if at and (token := two[data[at - 1] << 8 | data[at]]) is not None:
-            at -= 1
+        found, at = [], end - 1
+        while at >= 0 and (token := endings(data[at:end])) is not None:
             if token >= 0:
                 found.append((at, token))
             at -= 1
-            while at >= 0 and (token := endings(data[at:end])) is not None:
-                if token >= 0:
-                    found.append((at, token))
-                at -= 1
         for at, token in reversed(found):
             if not at:
                 if v.stands_alone(token):
@@ -128,14 +156,71 @@ def extend(v: Vocabulary, data: bytes, last: list[int], start: int) -> None:
                     break
                 continue
             before = last[at - 1]
-            known = apart(before << 32 | token)
-            if known or known is None and v.follows(before, token):
+            if (apart := known.get((before, token))) is None:
+                apart = known[before, token] = v.follows(before, token)
+            if apart:
                 last.append(token)
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
 
 
+def tables(v: Vocabulary, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The last token of every prefix of each piece of ``data`` (from ``begin[k]`` to before ``begin[k + 1]``).
+
+    The same as ``extend`` for all pieces at once: every token found anywhere by the trie, then prefix lengths in
+    turn, each looking at the tokens that end there.
+    """
+    n = np.diff(begin)
+    head, stop = np.repeat(begin[:-1], n), np.repeat(begin[1:], n)
+    at, node, found = np.arange(len(data)), np.zeros(len(data), np.int64), []
+    for depth, (keys, tokens) in enumerate(v.levels):
+        fits = at + depth < stop[at]
+        at = at[fits]
+        if not len(at):
+            break
+        key = node[fits] << 8 | data[at + depth]
+        node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = keys[node] == key
+        at, node = at[ok], node[ok]
+        token = tokens[node]
+        is_one = token >= 0
+        found.append((at[is_one], token[is_one], np.full(int(is_one.sum()), depth)))
+    at, token, depth = map(np.concatenate, zip(*found))
+    length = at + depth - head[at]
+    order = np.argsort(length.astype(np.uint8), kind="stable")  # within a length, shorter tokens first
+    at, token, depth = at[order], token[order], depth[order]
+    edge = np.r_[0, np.cumsum(np.bincount(length))]
+    first = at == head[at]
+    last = np.full(len(data), -1, np.int64)
+    for lo, hi in zip(edge, edge[1:]):
+        a, t, starts = at[lo:hi], token[lo:hi], first[lo:hi]
+        ok = np.empty(hi - lo, np.bool_)
+        ok[starts] = v.all_alone(t[starts])
+        ok[~starts] = v.all_follow(last[a[~starts] - 1], t[~starts])
+        last[(a + depth[lo:hi])[ok]] = t[ok]
+    if len(last) and last.min() < 0:
+        raise ValueError("the vocabulary lacks a byte")
+    return last
+
+
+def together(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
+    """Packed ids of pieces of at most ``TOGETHER`` bytes, none of them empty."""
+    begin = np.cumsum([0, *map(len, pieces)])
+    last = tables(v, np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), begin)
+    who, end, found = np.arange(len(pieces)), begin[1:].copy(), []
+    while len(who):  # from behind, the last token of all at once
+        token = last[end - 1]
+        found.append((who, token))
+        end = end - v.length[token]
+        more = end > begin[who]
+        who, end = who[more], end[more]
+    who, token = (np.concatenate(x[::-1]) for x in zip(*found))
+    ids = token[np.argsort(who, kind="stable")].astype("<u4").tobytes()
+    edge = (4 * np.r_[0, np.cumsum(np.bincount(who))]).tolist()
+    return [ids[a:b] for a, b in zip(edge, edge[1:])]
+
+
 class PrefixTable:
     """The last token of every prefix of a byte string, kept up to date under appends and edits."""
 
@@ -175,61 +260,39 @@ def read_back(v: Vocabulary, last: list[int]) -> list[int]:
     while end:
         token = last[end - 1]
         out.append(token)
-        end -= v.length[token]
+        end -= len(v.bytes_of[token])
     return out[::-1]
 
 
-class Memory(dict):
-    """Packed ids of strings, the younger half itself, the older in ``old``."""
+class Recent:
+    """Packed ids by string, what was not met for long forgotten: a full younger half takes the older one's place."""
 
     def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, text: str) -> bytes | None:
-        packed = self.old.get(text)
-        if packed is None:
-            packed = self.compute(text)
-            if packed is None or len(text) > 64:
-                return packed
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[text] = packed
-        return packed
-
-    def compute(self, text: str) -> bytes | None:
-        raise NotImplementedError
-
-
-class Pieces(Memory):
-    """Ids of pieces as little-endian 32-bit integers."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.remembered // 3)
-        self.v = vocabulary
-
-    def compute(self, text: str) -> bytes:
-        data, v = text.encode(), self.v
-        whole = v.ranks.get(data)
-        if whole is not None:
-            return array("I", (whole,)).tobytes()
-        last: list[int] = []
-        extend(v, data, last, 0)
-        return array("I", read_back(v, last)).tobytes()
-
-
-class Runs(Memory):
-    """Ids of runs between single spaces, which no match of the pattern spans; None where that isn't so."""
-
-    def __init__(self, pieces: Pieces, pattern, lead: str):
-        super().__init__(pieces.v.remembered)
-        self.pieces, self.pattern, self.lead = pieces, pattern, lead
-
-    def compute(self, text: str) -> bytes | None:
-        if not text or text[0].isspace() or text[-1].isspace():
-            return None
-        return b"".join([self.pieces[m] for m in self.pattern.findall(self.lead + text)])
+        self.size = size // 2
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
+    def add(self, text, packed: bytes) -> None:
+        if len(text) > 64:
+            return
+        self.held += 200 + len(text) + len(packed)
+        if self.held > self.size:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[text] = packed
+
+    def split(self, wanted: set) -> tuple[dict, list]:
+        """What is known of ``wanted``, and the rest."""
+        young, old, known, new = self.young.get, self.old.get, {}, []
+        for text in wanted:
+            if (packed := young(text)) is None:
+                if (packed := old(text)) is None:
+                    new.append(text)
+                    continue
+                self.add(text, packed)
+            known[text] = packed
+        return known, new
 
 
 class Encoder:
@@ -239,26 +302,128 @@ class Encoder:
     one), so a text can be cut there and the runs between looked up; other texts are matched as a whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern):
-        self.pattern, self.pieces = pattern, Pieces(vocabulary)
-        self.first, self.later = Runs(self.pieces, pattern, ""), Runs(self.pieces, pattern, " ")
+    def __init__(self, vocabulary: Vocabulary, pattern, remembered: int = REMEMBERED):
+        self.v, self.pattern = vocabulary, pattern
+        self.pieces, self.first, self.later = Recent(remembered // 4), Recent(remembered // 4), Recent(remembered // 4 * 3)
         self.plain = pattern.findall("a b\nc") == ["a", " b", "\n", "c"]
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.plain:
-            out, feed, later = [], self.pieces["\n"], self.later
-            try:
-                for line in text.split("\n"):
-                    first, *rest = line.split(" ")
-                    out.append(self.first[first])
-                    out += [later[x] for x in rest]
-                    out.append(feed)
-                return b"".join(out[:-1])
-            except TypeError:  # a run with white space at an end
-                pass
-        return b"".join([self.pieces[m] for m in self.pattern.findall(text)])
+        self.feed = self.of_pieces({"\n"})["\n"]
+
+    def forget(self) -> None:
+        for memory in (self.pieces, self.first, self.later):
+            memory.forget()
+
+    def computed(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces as little-endian 32-bit integers."""
+        out, short, ranks = {}, [], self.v.ranks
+        for text in pieces:
+            data = text.encode()
+            if (whole := ranks.get(data)) is not None:
+                out[text] = whole.to_bytes(4, "little")
+            elif len(data) > TOGETHER:
+                last: list[int] = []
+                extend(self.v, data, last, 0)
+                out[text] = array("I", read_back(self.v, last)).tobytes()
+            else:
+                short.append((text, data))
+        for at in range(0, len(short), 1 << 16):
+            part = short[at : at + (1 << 16)]
+            out.update(zip([t for t, _ in part], together(self.v, [d for _, d in part])))
+        return out
+
+    def of_pieces(self, wanted: set[str]) -> dict[str, bytes]:
+        """The same, remembered."""
+        out, new = self.pieces.split(wanted)
+        now = self.computed(new)
+        for text, packed in now.items():
+            self.pieces.add(text, packed)
+        return out | now
+
+    def of_runs(self, memory: Recent, lead: str, wanted: set[str]) -> dict[str, bytes | None]:
+        """Ids of runs between single spaces, which no match of the pattern spans; None where that isn't so."""
+        out, new = memory.split(wanted)
+        findall, add, one, several = self.pattern.findall, memory.add, [], []
+        for x in new:
+            if not x or x[0].isspace() or x[-1].isspace():
+                out[x] = None
+            elif len(ms := findall(lead + x)) == 1:
+                one.append(x)
+            else:
+                several.append((x, ms))
+        now = self.computed([lead + x for x in one])  # a piece of its own is remembered as a run
+        for x in one:
+            out[x] = packed = now[lead + x]
+            add(x, packed)
+        pieces = self.of_pieces({m for _, ms in several for m in ms})
+        for x, ms in several:
+            out[x] = packed = b"".join([pieces[m] for m in ms])
+            add(x, packed)
+        return out
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """``text`` in parts of about ``GROUP`` characters, and whether a part is plain; cut only where a match starts."""
+        if not self.plain:
+            yield text, False
+            return
+        at = 0
+        while len(text) - at > 2 * GROUP:
+            cut = at + GROUP
+            while (cut := text.find(" ", cut)) > 0 and (cut + 1 == len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
+                cut += 1
+            if cut < 0:
+                break
+            yield text[at:cut], True
+            at = cut
+        yield text[at:], True
+
+    def of_parts(self, parts: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of each part of a text; one that starts with a single space goes on where another was cut."""
+        # lines of a part: (the first run or None, the other runs)
+        split = [[(None, x[1:].split(" ")) if x[:1] == " " else ((y := x.split(" "))[0], y[1:]) for x in p.split("\n")] if plain else None for p, plain in parts]
+        first = self.of_runs(self.first, "", {a for p in split if p for a, _ in p if a is not None})
+        later = self.of_runs(self.later, " ", set().union(*(rest for p in split if p for _, rest in p)))
+        first[None] = b""
+        out: list[bytes | None] = []
+        for p in split:
+            if p is None:
+                out.append(None)
+                continue
+            packed = []
+            for a, rest in p:
+                packed.append(first[a])
+                packed += [later[x] for x in rest]
+                packed.append(self.feed)
+            # whether a line feed before a space is a match of its own is up to the pattern: only a part may start so
+            bad = None in packed or any(a is None for a, _ in p[1:])
+            out.append(None if bad else b"".join(packed[:-1]))
+        odd = {k: self.pattern.findall(parts[k][0]) for k, x in enumerate(out) if x is None}
+        pieces = self.of_pieces({m for ms in odd.values() for m in ms})
+        for k, ms in odd.items():
+            out[k] = b"".join([pieces[m] for m in ms])
+        return out
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn."""
+        parts: list[tuple[str, bool]] = []
+        counts, size = [], 0
+
+        def done() -> Iterator[bytes]:
+            ids = iter(self.of_parts(parts))
+            for n in counts:
+                yield b"".join([next(ids) for _ in range(n)])
+
+        for text in texts:
+            if text and len(text) > 2 * GROUP:  # on its own, part by part
+                yield from done()
+                parts, counts, size = [], [], 0
+                yield b"".join([self.of_parts([p])[0] for p in self.parts(text)])
+                continue
+            parts += [(text, self.plain)] if text else []
+            counts.append(1 if text else 0)
+            size += len(text or "")
+            if size > GROUP:
+                yield from done()
+                parts, counts, size = [], [], 0
+        yield from done()
 
 
 _LOADED: dict[str, object] = {}
@@ -270,7 +435,7 @@ def _loaded(raw: bytes, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     if key not in _LOADED:
         import regex
 
-        _LOADED[key] = Encoder(Vocabulary.parse(raw, remembered), regex.compile(pattern))
+        _LOADED[key] = Encoder(Vocabulary.parse(raw), regex.compile(pattern), remembered)
     return _LOADED[key]
 
 
@@ -289,37 +454,45 @@ def decode_ids(packed: bytes, table: dict[int, bytes]) -> bytes:
 def encode(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
     """Columns ``keep``, ids (binary, little-endian unsigned 32-bit) and n_tokens per row.
 
-    ``raw`` is the content of a vocabulary file (a fixed size, under 1 MB) and travels with the task.
+    ``raw`` is the content of a vocabulary file (a fixed size, under 1 MB) and travels with the task. ``remembered``
+    bounds a worker's memory of what it met, in bytes; at the end of each task it is forgotten.
     """
     names = list(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids binary, n_tokens long"
+    kept = [F.col(f"`{n}`").alias(f"_k{i}") for i, n in enumerate(names)]
+    schema = ", ".join([*(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.select(*(F.col(f"`{n}`") for n in names)).schema)), "_ids binary", "_n long"])
+    out_names = [*(f"_k{i}" for i in range(len(names))), "_ids", "_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(raw, pattern, remembered)
         for b in batches:
-            for at in range(0, b.num_rows, 64):  # bounds what is held at once
-                part = b.slice(at, 64)
-                ids = [encoder(t.as_py()) for t in part.column("_text")]
-                columns = [part.column(n) for n in names] + [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_tokens"])
+            for at in range(0, b.num_rows, 256):  # bounds what is held at once
+                part = b.slice(at, 256)
+                ids = list(encoder(part.column(0).to_pylist()))
+                columns = [*part.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=out_names)
+        encoder.forget()
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    out = docs.select(F.col(f"`{text}`").alias("_text"), *kept).mapInArrow(run, schema)
+    return out.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), F.col("_ids").alias("ids"), F.col("_n").alias("n_tokens"))
 
 
 def decode(encoded: DataFrame, raw: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the decoded bytes per row of packed ids; null ids decode to nothing."""
     names = list(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema) + ", decoded binary"
+    kept = [F.col(f"`{n}`").alias(f"_k{i}") for i, n in enumerate(names)]
+    schema = ", ".join([*(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(encoded.select(*(F.col(f"`{n}`") for n in names)).schema)), "_decoded binary"])
+    out_names = [*(f"_k{i}" for i in range(len(names))), "_decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(raw)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                out = [decode_ids(x.as_py() or b"", table) for x in part.column("_ids")]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(out, pa.binary())], names=[*names, "decoded"])
+                out = [decode_ids(x.as_py() or b"", table) for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.binary())], names=out_names)
 
-    return encoded.select(*names, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    out = encoded.select(F.col(f"`{ids}`").alias("_ids"), *kept).mapInArrow(run, schema)
+    return out.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), F.col("_decoded").alias("decoded"))
 
 
 def digests(docs: DataFrame, raw: bytes, pattern: str) -> DataFrame:
