@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most this many short rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: A table of at most this many longs may be broadcast (some 16 MB).
+BROADCAST_KEYS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,24 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def texts_of(docs: DataFrame, found: DataFrame, key: str = "key", rows: int = BROADCAST_KEYS) -> DataFrame:
+    """``docs`` joined with ``found`` on ``key`` (a long); of ``docs`` only the rows found move if their keys are few."""
+    keys = found.select(key).distinct()
+    if keys.limit(rows + 1).count() <= rows:
+        docs = docs.join(F.broadcast(keys), key, "left_semi")
+    return docs.join(found, key)
+
+
+def joined_where(docs: DataFrame, found: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` left-joined with ``found`` on ``key``; if few keys are found, the rows of others stay where they are."""
+    if found.limit(rows + 1).count() > rows:
+        return docs.join(found, key, "left")
+    keys = F.broadcast(found.select(key))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != key]
+    rest = docs.join(keys, key, "left_anti").select("*", *none)
+    return rest.unionByName(docs.join(keys, key, "left_semi").join(found, key, "left"))
+
+
 def n_words(text: Column) -> Column:
     """Number of words, null counting 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
