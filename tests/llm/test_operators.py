@@ -108,6 +108,51 @@ def test_simhash_components(spark, monkeypatch, block):
     assert kept == set(group)
 
 
+def similar_groups(texts, size=5, least=0.8):
+    """Of each text the first one of its group: equal word sequences, or shingle sets of enough similarity."""
+    ws = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")] for t in texts]
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in ws]
+    group = list(range(len(texts)))
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if ws[a] == ws[b] or ws[a] and ws[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    return group
+
+
+@pytest.mark.parametrize(("block", "compared"), [(4096, 1 << 21), (3, 200)])
+def test_similar_documents(spark, monkeypatch, block, compared):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = random.Random(31)
+    base = [words(rng, n) for n in (60, 150, 400, 900)]
+    texts = list(base) + ["tie one two three", "Tie ONE two three", "tie one", None, "", " \n"]
+    for k in range(80):
+        w = base[k % 4].split()
+        for _ in range(rng.randint(0, len(w) // 100 + 1) if k < 60 else len(w) // 8):  # up to 0.83 and under 0.4
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append((" " if k % 3 else "\n").join(w))
+    group = similar_groups(texts)
+    kept = {r.doc_id for r in simhash.keep_similar(frame(spark, texts)).collect()}
+    assert kept == set(group)
+
+
+def test_recall_of_wide_fingerprints():
+    """Of pairs at a similarity of about 0.8, nine in ten at least share three positional bytes and differ in few bits."""
+    rng = random.Random(32)
+    found = 0
+    for k in range(200):
+        w = words(rng, 300).split()
+        edited = list(w)
+        for at in rng.sample(range(5, 295), 7):
+            edited[at] = f"new{k}"
+        a, b = (simhash.word_print(" ".join(x))[1:] for x in (w, edited))
+        x = np.array([a], np.int64) ^ np.array([b], np.int64)
+        same = x.view(np.uint8)[0] == 0
+        found += bool(simhash.near(x, simhash.APART)[0]) and any(same[list(t)].all() for t in simhash.WIDE_TRIPLES)
+    assert found >= 190
+
+
 def test_triples_cover_every_four_positions():
     import itertools
 

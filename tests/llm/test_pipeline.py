@@ -7,7 +7,7 @@ import re
 import corpus_pipeline
 from corvid.llm import quality
 
-from .test_operators import brute_simhash, brute_targets, words
+from .test_operators import brute_targets, similar_groups, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,14 +63,7 @@ def by_hand(rows):
         rest = "\n".join(y for k, y in enumerate(x) if k not in gone)
         if not gone or WORD.search(rest):
             lines.append((i, rest, s))
-    fps = [brute_simhash(t) for _, t, _ in lines]
-    group = list(range(len(lines)))
-    for _ in lines:
-        for a in range(len(fps)):
-            for b in range(len(fps)):
-                if (fps[a] ^ fps[b]).bit_count() <= 4:
-                    group[a] = group[b] = min(group[a], group[b])
-    return [lines[k] for k in sorted(set(group))]
+    return [lines[k] for k in sorted(set(similar_groups([t for _, t, _ in lines])))]
 
 
 def test_pipeline(spark, tmp_path):
