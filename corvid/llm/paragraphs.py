@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import components, scratch
+from corvid.llm.common import components, scratch, texts_of
 from corvid.llm.suffixes import _UP, PIECE, Hashes, keyed, merged, mix, pair, slide
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -86,8 +86,17 @@ def joined(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np
     return a[first], np.r_[a[first[1:]], b[-1:]][: len(first)]
 
 
+def beside(h: np.ndarray, da: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit names of the (up to) ``REACH`` words before and after each run; texts begin at the words ``da``."""
+    gaps = np.repeat(np.r_[da, len(h)], REACH)  # no word of one text stands beside one of another
+    names = (chain(np.insert(h, gaps, np.uint64(0)), REACH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    at = run + REACH * np.searchsorted(da, run, "right")
+    return names[at - REACH], names[at + SEGMENT]
+
+
 def units(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Columns who, start, end (bytes), kind (0 paragraph, 1 run or tiny text), uid and bands (kind 1 has none)."""
+    """Columns who, start, end (bytes), kind (0 paragraph, 1 run or tiny text), uid, left and right (names of the words
+    beside a run, else 0) and bands (kind 1 has none)."""
     data = b"\n".join(texts).translate(_LOWER)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     start, end, h = words(data)
@@ -151,7 +160,9 @@ def units(texts: list[bytes]) -> dict[str, np.ndarray]:
     who = np.searchsorted(begin, s, "right") - 1
     uid = np.r_[whole, chain(h, SEGMENT)[run] if len(run) else np.empty(0, np.uint64), tiny_uid]
     kind = np.r_[np.zeros(len(pa_), np.int32), np.ones(len(run) + len(ta), np.int32)]
-    return {"who": who, "start": (s - begin[who]).astype(np.int32), "end": (e - begin[who]).astype(np.int32), "kind": kind, "uid": uid.view(np.int64), "bands": bands.view(np.int64)}
+    left, right = beside(h, da, run) if len(run) else (np.zeros(0, np.int32),) * 2
+    around = lambda x: np.r_[np.zeros(len(pa_), np.int32), x, np.zeros(len(ta), np.int32)]
+    return {"left": around(left), "right": around(right), "who": who, "start": (s - begin[who]).astype(np.int32), "end": (e - begin[who]).astype(np.int32), "kind": kind, "uid": uid.view(np.int64), "bands": bands.view(np.int64)}
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -167,8 +178,8 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """Rows (key, doc, start, end, kind, uid, bands)."""
-    schema = "key long, doc long, start int, end int, kind int, uid long, bands array<long>"
+    """Rows (key, doc, start, end, kind, uid, left, right, bands)."""
+    schema = "key long, doc long, start int, end int, kind int, uid long, left int, right int, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +193,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
                         who, n = u["who"] + lo, len(u["who"]) - len(u["bands"])
                         sizes = np.r_[np.full(len(u["bands"]), BANDS), np.zeros(n, np.int64)]
                         bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(u["bands"].ravel()))
-                        columns = [pa.array(key[who]), pa.array(doc[who]), *(pa.array(u[c]) for c in ("start", "end", "kind", "uid")), bands]
+                        columns = [pa.array(key[who]), pa.array(doc[who]), *(pa.array(u[c]) for c in ("start", "end", "kind", "uid", "left", "right")), bands]
                         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     last = F.lit((1 << 63) - 1)
@@ -257,7 +268,7 @@ def links(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
                     sets.append(np.unique((chain(h, SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["uid", "shingles"])
 
-    sets = keyed(docs).join(wanted, "key").select("key", "doc_id", "text", "wanted").mapInArrow(shingles, "uid long, shingles array<int>")
+    sets = texts_of(keyed(docs), scratch(wanted, "wanted")).select("key", "doc_id", "text", "wanted").mapInArrow(shingles, "uid long, shingles array<int>")
     large = scratch(met.groupBy("band").count().filter(F.col("count") > block), "large-bands")
     rows = met.join(sets, "uid")
     schema = "u long, v long"
@@ -298,36 +309,60 @@ def links(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def shared_runs(runs: DataFrame) -> DataFrame:
-    """Of rows (uid, key, doc, start, end) those whose uid has more than one key, read in sorted order."""
-    names = ["uid", "key", "doc", "start", "end"]
+    """Of rows (uid, key, doc, start, end, left, right) those whose uid has more than one key.
+
+    ``before`` and ``after`` tell whether an earlier document (by doc, key) has the same words beside the run, so that
+    it can be extended over all of them. Rows are read in sorted order; of a uid that goes on in the next batch, its
+    different neighbours are held.
+    """
+    names = ["uid", "key", "doc", "start", "end", "left", "right"]
+    none = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)] * 4
+
+    def known(uid: np.ndarray, key: np.ndarray, side: np.ndarray, seen: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the first with the uid and this side has another key; which rows are the first ones. seen: rows
+        of earlier batches."""
+        uid, key, side = (np.r_[x, y] for x, y in zip(seen, (uid, key, side)))
+        _, first, group = np.unique(pair(uid.view(np.uint64), side.view(np.uint32).astype(np.uint64)), return_index=True, return_inverse=True)
+        n = len(seen[0])
+        return (key[first][group] != key)[n:], first[first >= n] - n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)] * 2, None  # known: the first uid has several keys
-        out = lambda keep: pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in held], names=names)
+        empty = (none[0], none[1], none[5])
+        held, goes_on, seen = none, None, [empty, empty]  # goes_on: the first uid, if it has several keys
         for b in [*batches, None]:
             if b is not None:
                 held = [np.r_[x, c.to_numpy(zero_copy_only=False)] for x, c in zip(held, b.columns)]
-            if not len(held[0]):
-                continue
             uid, key = held[0], held[1]
+            if not len(uid):
+                continue
+            if goes_on != uid[0]:
+                seen = [empty, empty]
             group = np.cumsum(np.r_[False, uid[1:] != uid[:-1]])
             other = np.r_[False, (key[1:] != key[:-1]) & (uid[1:] == uid[:-1])]
             several = np.bincount(group, weights=other) > 0
-            several[0] |= known == uid[0]
+            several[0] |= goes_on == uid[0]
             keep = several[group]
-            if b is not None and not several[-1]:
-                keep[group == group[-1]] = False  # these wait for more of their uid
-            yield out(keep)
-            known = uid[-1] if several[-1] else None
-            stay = (group == group[-1]) & (b is not None and not several[-1])
-            held = [x[stay] for x in held]
-
-    return runs.select(*names).repartition("uid").sortWithinPartitions("uid", "key").mapInArrow(run, "uid long, key long, doc long, start int, end int")
+            last = group == group[-1]
+            sides = [known(uid, key, held[k], s) for k, s in zip((5, 6), seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*held[:5], sides[0][0], sides[1][0])], names=[*names[:5], "before", "after"])
+            if several[-1]:
+                goes_on, fresh = uid[-1], group[-1] > 0
+                for k, (_, first) in enumerate(sides):
+                    first = first[last[first]]
+                    now = uid[first], key[first], held[5 + k][first]
+                    seen[k] = now if fresh else tuple(np.r_[x, y] for x, y in zip(seen[k], now))
+                held = none
+            else:  # these wait for more of their uid
+                goes_on, held = None, [x[last] for x in held]
+
+    schema = "uid long, key long, doc long, start int, end int, before boolean, after boolean"
+    return runs.select(*names).repartition("uid").sortWithinPartitions("uid", "doc", "key").mapInArrow(run, schema)
 
 
 def around(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``runs`` with the hashes (before, after; outwards) and the outer ends (lo, hi; bytes) of the words around."""
-    wanted = runs.groupBy("key", "doc").agg(F.sort_array(F.collect_set(F.struct("start", "end", "uid"))).alias("wanted"))
+    """``runs`` extended over the words beside them where those are known from an earlier document; on the other sides
+    with the hashes of the words (before, after; outwards) and the bytes that each adds (lo, hi)."""
+    wanted = runs.groupBy("key", "doc").agg(F.sort_array(F.collect_set(F.struct("start", "end", "uid", "before", "after"))).alias("wanted"))
     schema = "uid long, key long, doc long, start int, end int, before array<int>, after array<int>, lo array<int>, hi array<int>"
 
     def lists(x: np.ndarray, at: np.ndarray, n: np.ndarray, step: int) -> pa.ListArray:
@@ -343,17 +378,21 @@ def around(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 first, last, h = words(text.as_py().encode().translate(_LOWER))
                 short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 first, last = first.astype(np.int32), last.astype(np.int32)
+                # bytes from a word's start to the next one's, from a word's end to the one's before
+                ahead, behind = (np.diff(x, **{side: 0}).astype(np.int32) for x, side in ((first, "append"), (last, "prepend")))
                 every = rows.values.flatten()
                 for k in range(0, len(rows), 4096):
-                    start, end, uid = (c.slice(k, 4096) for c in every)
-                    a, z = np.searchsorted(first, start.to_numpy()), np.searchsorted(last, end.to_numpy()) + 1
+                    start, end, uid, left, right = (c.slice(k, 4096).to_numpy(zero_copy_only=False) for c in every)
+                    a, z = np.searchsorted(first, start), np.searchsorted(last, end) + 1
                     before, after = np.minimum(a, REACH), np.minimum(len(h) - z, REACH)
+                    start, end = np.where(left, first[a - before], start).astype(np.int32), np.where(right, last[z - 1 + after], end).astype(np.int32)
+                    before, after = np.where(left, 0, before), np.where(right, 0, after)
                     n = len(a)
-                    columns = [uid, pa.array(np.full(n, key.as_py())), pa.array(np.full(n, doc.as_py())), start, end]
-                    columns += [lists(short, a - 1, before, -1), lists(short, z, after, 1), lists(first, a - 1, before, -1), lists(last, z, after, 1)]
+                    columns = [pa.array(uid), pa.array(np.full(n, key.as_py())), pa.array(np.full(n, doc.as_py())), pa.array(start), pa.array(end)]
+                    columns += [lists(short, a - 1, before, -1), lists(short, z, after, 1), lists(ahead, a - 1, before, -1), lists(behind, z, after, 1)]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return keyed(docs).join(wanted, "key").select("key", "doc", "text", "wanted").mapInArrow(run, schema)
+    return texts_of(keyed(docs), scratch(wanted, "wanted")).select("key", "doc", "text", "wanted").mapInArrow(run, schema)
 
 
 def alike(uid: np.ndarray, key: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -395,6 +434,7 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
             if not new.any():
                 continue
             (before, n), (after, m), (lo, _), (hi, _) = (table(b.column(k), t) for k, t in ((5, np.int32), (6, np.int32), (7, np.int64), (8, np.int64)))
+            lo, hi = lo.cumsum(axis=1), hi.cumsum(axis=1)
             now = [x[new] for x in (uid, key, before, n, after, m)]
             old = 0 if held is None else len(held[0])
             every = now if held is None else [np.concatenate(x) for x in zip(held, now)]
@@ -402,8 +442,8 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
             left, right = (alike(every[0], every[1], wide(every[k]), every[k + 1])[old:] for k in (2, 4))
             uid, key, doc, start, end, lo, hi = (x[new] for x in (uid, key, doc, start, end, lo, hi))
             row = np.arange(len(uid))
-            start = np.where(left > 0, lo[row, np.maximum(left, 1) - 1], start).astype(np.int32)
-            end = np.where(right > 0, hi[row, np.maximum(right, 1) - 1], end).astype(np.int32)
+            start = (start - np.where(left > 0, lo[row, np.maximum(left, 1) - 1], 0)).astype(np.int32)
+            end = (end + np.where(right > 0, hi[row, np.maximum(right, 1) - 1], 0)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, key, doc, start, end)], names=["uid", "key", "doc", "start", "end"])
             stay = np.flatnonzero(every[0] == uid[-1])
             context = np.ascontiguousarray(np.column_stack([*(every[k][stay] for k in (2, 4)), every[3][stay], every[5][stay]]))
