@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvid.llm.common import release
+
 #: Bytes, roughly, of what a worker remembers of runs of text, and a quarter as much of pieces; halves of it are
 #: forgotten in turn.
 REMEMBERED = 64 << 20
@@ -30,6 +32,8 @@ REMEMBERED = 64 << 20
 TOGETHER = 192
 #: Characters of text that are worked on together.
 GROUP = 1 << 20
+#: Tokens of which the edges are remembered.
+EDGES = 16_384
 #: Slots of the table of token pairs (a power of two); a pair forgets the one that had its slot.
 PAIRS_BITS = 20
 
@@ -95,6 +99,8 @@ class Vocabulary:
     def edges(self, token: int) -> tuple[bool, list, list]:
         """Whether merging a token's own bytes gives the token, and its edges (see ``merge``)."""
         if (known := self._edges.get(token)) is None:
+            if len(self._edges) >= EDGES:
+                self._edges.clear()
             ids, right, left = self.merge(self.bytes_of[token])
             known = self._edges[token] = (ids == [token], right, left)
         return known
@@ -471,6 +477,7 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep:
                 columns = [*part.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=out_names)
         encoder.forget()
+        release()
 
     out = docs.select(F.col(f"`{text}`").alias("_text"), *kept).mapInArrow(run, schema)
     return out.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), F.col("_ids").alias("ids"), F.col("_n").alias("n_tokens"))
@@ -495,11 +502,31 @@ def decode(encoded: DataFrame, raw: bytes, ids: str = "ids", keep: tuple[str, ..
     return out.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), F.col("_decoded").alias("decoded"))
 
 
-def digests(docs: DataFrame, raw: bytes, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
-    encoded = encode(docs, raw, pattern)
-    back = decode(encoded, raw, keep=("doc_id", "n_tokens", "ids"))
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, raw: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
+    """Columns ``keep``, n_tokens, ids_sha256 and decoded_sha256 of whole texts.
+
+    Texts are encoded and their ids decoded again by one worker, so that no second one is held for each task.
+    """
+    names = list(keep)
+    kept = [F.col(f"`{n}`").alias(f"_k{i}") for i, n in enumerate(names)]
+    found = ("_n", "_ids", "_decoded")
+    schema = ", ".join([*(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.select(*(F.col(f"`{n}`") for n in names)).schema)), "_n long, _ids string, _decoded string"])
+    out_names = [*(f"_k{i}" for i in range(len(names))), *found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _loaded(raw, pattern, remembered)
+        table, sha = encoder.v.bytes_of, lambda x: hashlib.sha256(x).hexdigest()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows = [(len(ids) // 4, sha(ids), sha(decode_ids(ids, table))) for ids in encoder(part.column(0).to_pylist())]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=out_names)
+        encoder.forget()
+        release()
+
+    out = docs.select(F.col(f"`{text}`").alias("_text"), *kept).mapInArrow(run, schema)
+    return out.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), *(F.col(c).alias(n) for c, n in zip(found, ("n_tokens", "ids_sha256", "decoded_sha256"))))
 
 
 def vocabulary_file(path: str) -> bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back: it may live on, idle, while others need the room."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def texts_of(docs: DataFrame, found: DataFrame, key: str = "key", rows: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` joined with ``found`` on ``key`` (a long); of ``docs`` only the rows found move if their keys are few."""
     keys = found.select(key).distinct()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import checked_broadcast, joined_where, n_words, packed, scratch
+from corvid.llm.common import checked_broadcast, joined_where, n_words, packed, release, scratch
 
 LEAST = 2
 #: Suffixes of an interval above which its first one is broadcast to them (so there are at most rows / HOT of these).
@@ -128,6 +128,7 @@ def dedup(docs: DataFrame, least: int = LEAST, single: int | None = None) -> Dat
             keep = pa.array([not g or bool(n.split()) for n, g in zip(new, gone)], pa.bool_())
             columns = [pa.array(new, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+        release()
 
     return rows.select(*names, "_gone").mapInArrow(run, slim.schema).select(*columns)
 

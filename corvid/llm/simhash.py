@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import checked_broadcast, components, packed, scratch
+from corvid.llm.common import checked_broadcast, components, packed, release, scratch
 from corvid.llm.paragraphs import chain, jaccard_forest, words
 from corvid.llm.suffixes import mix
 
@@ -271,6 +271,7 @@ def word_prints(keyed: DataFrame) -> DataFrame:
         for b in batches:
             found = np.array([word_print(t.as_py()) for t in b.column(1)], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(3))], names=["_row", "node", "f0", "f1"])
+        release()
 
     return keyed.select("_row", F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -309,6 +310,7 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
                     size = sum(len(x.column("shingles").flatten()) for x in held)
         if held:
             yield out(pa.Table.from_batches(held))
+        release()
 
     rows = sets.select("group", "node", "shingles")
     if not large.isEmpty():  # each pair of blocks of a large group is a group
@@ -331,6 +333,7 @@ def similar_classes(keyed: DataFrame, prints: DataFrame, size: int = WORDS, simi
                 _, _, h = words((b.column(2)[at].as_py() or "").encode().translate(LOWER))
                 found = np.unique(chain(h, min(size, max(len(h), 1)))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, 1) for k in (0, 1)), pa.array([found], pa.list_(pa.int64()))], names=["group", "node", "shingles"])
+        release()
 
     rows = keyed.select("_row", F.col("text").alias("_text")).join(checked_broadcast(one), "_row")
     sets = rows.select(F.col("component").alias("group"), "node", "_text").mapInArrow(shingles, "group long, node long, shingles array<long>")
