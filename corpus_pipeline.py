@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvid.llm import bpe, lines, mixing, quality, simhash
 from corvid.llm.common import documents, scratch
@@ -41,10 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each use of a document; ids_sha256 and decoded_sha256 are digests of the ids and of what they decode to."""
     raw = bpe.vocabulary_file(public_tokenizers.path(VOCABULARY))
-    keep = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, raw, public_tokenizers.PATTERN, keep=keep)
-    back = bpe.decode(encoded, raw, keep=(*keep, "n_tokens", "ids"))
-    return back.select(*keep, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, raw, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [
