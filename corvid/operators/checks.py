@@ -8,32 +8,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid import config
 from corvid.functions import text as T
+from corvid.operators.pages import TEMPLATE, is_leader
 
+#: Folded characters by which a needle meets its candidates.
+GRAM = 12
+#: Bullets that are left over, the share of misses that is a drift, misses shown and logged.
+RAW_BULLET = r"^\s*[□○ㅇ❍◉▸▪‣∙•Ÿ](\s|\z)"
+DRIFT, SHOWN, LOGGED = 0.05, 20, 200
 
-#: Needles that one broadcast may hold.
-FEW = 2000
 
+def passages(needles: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (item_id, doc_id): the folded needle (without glyphs, not empty) is anywhere in the folded document.
 
-def coverage(needles: DataFrame, docs: DataFrame, few: int = FEW) -> DataFrame:
-    """Rows (item_id, doc_id): the folded needle is in the folded document.
-
-    Up to FEW needles are broadcast and looked for in one pass. More of them meet their candidates on their first 12
-    folded characters, an equi-join on the documents' shingles of that length, and are then verified. Only needles
-    of at least 12 folded characters are looked for.
+    Needles meet their candidates on their first GRAM characters (shorter ones on all of theirs), an equi-join on the
+    documents' shingles of these lengths, and are then verified. Shingles that no needle begins with don't leave the
+    scan while the needles' beginnings are few enough to be broadcast.
     """
-    n = 12
-    sought = needles.select("item_id", T.fold("text").alias("needle")).filter(F.length("needle") >= n).withColumn("gram", F.substring("needle", 1, n))
-    folded = docs.select("doc_id", T.fold("text").alias("hay")).filter(F.length("hay") >= n)
-    if sought.limit(few + 1).count() <= few:
-        return folded.join(F.broadcast(sought), F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
-    starts = F.sequence(F.lit(1), F.length("hay") - n + 1)
-    grams = folded.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("hay"), i, F.lit(n))))).alias("gram"))
+    sought = needles.select("item_id", T.fold_glyphs("text").alias("needle")).filter("needle <> ''").withColumn("gram", F.substring("needle", 1, GRAM))
+    folded = docs.select("doc_id", T.fold_glyphs("text").alias("hay"))
+    lengths = sorted(r[0] for r in sought.select(F.length("gram")).distinct().collect())  # at most GRAM rows
+    if not lengths:
+        return sought.select("item_id").join(folded.select("doc_id"), F.lit(False))
+    grams = folded.select("doc_id", F.explode(F.array_distinct(F.concat(*(T.shingles(F.col("hay"), n) for n in lengths)))).alias("gram"))
+    starts = sought.select("gram").distinct()
+    if starts.limit(FEW + 1).count() <= FEW:
+        grams = grams.join(F.broadcast(starts), "gram", "left_semi")
     met = grams.join(sought.select("item_id", "gram"), "gram").select("item_id", "doc_id").distinct()
     return met.join(sought, "item_id").join(folded, "doc_id").filter(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
+#: Beginnings of needles that are broadcast (some 5 MB).
+FEW = 100_000
+
+
+def uncovered(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Page lines (doc_id, page, line, text) with ``covered``: whether the document's folded text holds them.
+
+    Blank lines, leaders and a template's residue are left out, as they don't go into a document.
+    """
+    folded = T.fold("text")
+    template = F.lit(False)
+    for t in TEMPLATE:
+        template = template | folded.contains(t)
+    needles = lines.filter(~is_leader("text") & ~template).select("doc_id", "page", "line", "text", T.fold_glyphs("text").alias("_needle")).filter("_needle <> ''")
+    hay = docs.select("doc_id", T.fold_glyphs("text").alias("_hay"))
+    return needles.join(hay, "doc_id").select("doc_id", "page", "line", "text", F.col("_hay").contains(F.col("_needle")).alias("covered"))
+
+
+def coverage(lines: DataFrame) -> DataFrame:
+    """Rows (doc_id, needles, misses, drift, listed, logged) of ``uncovered`` lines: over one line in twenty missing is
+    one finding (drift); else the first misses are listed, and more of them logged (sizes of the report)."""
+    miss = F.array_sort(F.collect_list(F.when(~F.col("covered"), F.struct("page", "line", "text"))))
+    rows = lines.groupBy("doc_id").agg(F.count("*").alias("needles"), F.count_if(~F.col("covered")).alias("misses"), miss.alias("_m"))
+    drift = F.col("misses") > DRIFT * F.col("needles")
+    names = F.transform(F.slice("_m", 1, LOGGED), lambda x: F.concat(F.lit("p."), (x["page"] + 1).cast("string"), F.lit(" "), x["text"]))
+    listed = F.when(drift, F.array().cast("array<string>")).otherwise(F.slice(names, 1, SHOWN))
+    return rows.select("doc_id", "needles", "misses", drift.alias("drift"), listed.alias("listed"), F.size(names).alias("logged"))
+
+
 def body_findings(lines: DataFrame) -> DataFrame:
     """Findings (doc_id, line, finding) of Markdown lines (doc_id, line, text)."""
     pipes = F.length(F.regexp_replace("text", r"\\\|", "")) - F.length(F.replace(F.regexp_replace("text", r"\\\|", ""), F.lit("|"), F.lit("")))
@@ -47,20 +80,21 @@ def body_findings(lines: DataFrame) -> DataFrame:
     found = F.array(
         F.when(F.col("text").contains("\u00a0"), F.lit("no-break space")),
         F.when(F.col("text").contains("‒"), F.lit("figure dash")),
-        F.when(F.col("text").rlike("^[□○❍◉▸▪‣∙Ÿ]"), F.lit("raw bullet")),
+        F.when(F.col("text").rlike(RAW_BULLET) & ~F.col("text").startswith("<!--"), F.lit("raw bullet")),
         F.when(F.col("_t") & (F.col("_lines") == 1), F.lit("single table line")),
         F.when(F.col("_t") & (F.col("_kinds") > 1), F.lit("unequal pipes")),
     )
     return rows.select("doc_id", "line", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
 
 
-def id_findings(heads: DataFrame, paths: DataFrame, rid: Column) -> DataFrame:
-    """Findings (doc_id, hid, finding): malformed, repeated, or not the ordinal path of its place."""
-    rows = heads.join(paths.select("doc_id", "hid", "ordinal"), ["doc_id", "hid"], "left").withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "hid")))
+def id_findings(heads: DataFrame, rid: Column) -> DataFrame:
+    """Findings (doc_id, hid, finding) of headings (doc_id, hid, ordinal): malformed, repeated, or not the ordinal
+    path of its place."""
+    rows = heads.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "hid")))
     found = F.array(
         F.when(~F.col("hid").rlike(r"^[A-Za-z0-9-]+_c\d+(?:s\d+)*\z"), F.lit("form")),
         F.when(F.col("_n") > 1, F.lit("repeated")),
-        F.when(F.col("hid") != F.concat(rid, F.lit("_"), F.coalesce("ordinal", F.lit("?"))), F.lit("path")),
+        F.when(F.col("hid") != F.concat(rid, F.lit("_"), "ordinal"), F.lit("path")),
     )
     return rows.select("doc_id", "hid", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding")).distinct()
 
@@ -70,20 +104,6 @@ def symmetric_difference(left: DataFrame, right: DataFrame, keys: list[str]) ->
     return left.join(right, keys, "left_anti").select(*keys, F.lit("left").alias("side")).unionByName(right.join(left, keys, "left_anti").select(*keys, F.lit("right").alias("side")))
 
 
-def running_heads(lines: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (doc_id, pos, text, n): first or last lines of pages (doc_id, page, line, text) that recur on pages."""
-    w = Window.partitionBy("doc_id", "page")
-    ends = lines.withColumn("_first", F.min("line").over(w)).withColumn("_last", F.max("line").over(w))
-    ends = ends.select("doc_id", "page", "text", F.explode(F.filter(F.array(F.when(F.col("line") == F.col("_first"), F.lit("top")), F.when(F.col("line") == F.col("_last"), F.lit("bottom"))), lambda x: x.isNotNull())).alias("pos"))
-    return ends.filter(F.length("text") <= 80).groupBy("doc_id", "pos", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-
-
-def page_stats(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, page, chars, lines, leaders) of page lines."""
-    leader = F.col("text").rlike(r"[.·…]{3,}\s*\d+\s*$")
-    return lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("lines"), F.sum(leader.cast("long")).alias("leaders"))
-
-
 def modal_length(lines: DataFrame) -> DataFrame:
     """Rows (doc_id, size, total): the line length that most text has (ties: the first seen)."""
     sized = lines.groupBy("doc_id", F.length("text").alias("size")).agg(F.sum(F.length("text")).alias("total"), F.min("line").alias("_first"))

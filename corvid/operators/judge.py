@@ -41,6 +41,12 @@ def streaks(verdicts: DataFrame) -> DataFrame:
     return rows.select("stem", "hid", "seq", F.when(fail, F.sum("_step").over(isle.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0).cast("int").alias("streak"))
 
 
+def history(verdicts: DataFrame, most: int = 3) -> DataFrame:
+    """Rows (stem, hid, last): when the last ``most`` FAILs were (the size of the kept history)."""
+    fails = verdicts.filter("verdict = 'FAIL'").groupBy("stem", "hid").agg(F.array_sort(F.collect_list("seq")).alias("_all"))
+    return fails.select("stem", "hid", F.slice("_all", F.greatest(F.size("_all") - (most - 1), F.lit(1)), F.lit(most)).alias("last"))
+
+
 def escalation(streak: Column, escalated: Column, most: int = 3) -> Column:
     """Next step after a verdict: none, arbiter, or manual if the summary was regenerated already."""
     return F.when(streak < most, "none").when(escalated == "summary", "manual").otherwise("arbiter")

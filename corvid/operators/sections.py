@@ -134,10 +134,13 @@ def units(docs: DataFrame, least: int = config.MIN_CHARS, most: int = config.MAX
     own = marks.filter(F.col("_own").isNotNull() & F.col("hid").isNull() & ~summary)
     direct = own.groupBy("doc_id", F.col("_own").alias("hid")).agg(F.length(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n"))).alias("direct"))
     heads = stored(heads.join(direct, ["doc_id", "hid"], "left").withColumn("direct", F.coalesce("direct", F.lit(0))))
-    below = heads.select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"), F.col("direct").alias("_n"))
-    sub = heads.join(below, (F.col("_d") == F.col("doc_id")) & (F.col("_l") >= F.col("line")) & (F.col("_l") < F.col("end_line")))
-    sub = sub.groupBy("doc_id", "hid").agg(F.sum("_n").alias("sub"), (F.count("*") > 1).alias("has_children"))
-    heads = stored(heads.join(sub, ["doc_id", "hid"]))
+    # a heading of depth k and its subtree are the run of headings up to the next one of depth k or less
+    so_far = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(1, 5):
+        heads = heads.withColumn(f"_run{k}", F.sum((F.col("depth") <= k).cast("int")).over(so_far))
+    of = lambda what: F.coalesce(*(F.when(F.col("depth") == k, what.over(Window.partitionBy("doc_id", f"_run{k}"))) for k in range(1, 5)))
+    heads = heads.withColumn("sub", of(F.sum("direct"))).withColumn("has_children", of(F.count("*")) > 1)
+    heads = stored(heads.drop(*(f"_run{k}" for k in range(1, 5))))
     whole = (F.col("sub") <= most) | ~F.col("has_children")
     active = heads.filter(F.col("parent").isNull() & ~((F.col("depth") == 1) & T.excluded_chapter("title")))
     out = None
@@ -151,6 +154,35 @@ def units(docs: DataFrame, least: int = config.MIN_CHARS, most: int = config.MAX
     return out
 
 
+def unit_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows (doc_id, hid, text) of spans (doc_id, hid, start, end): the lines after the heading, without summaries
+    and without the ids of further headings. Spans don't overlap, so each line has one at most."""
+    lines = markdown_lines(docs)
+    begun = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    marks = lines.join(spans.select("doc_id", F.col("start").alias("line"), F.struct("hid", "end").alias("_u")), ["doc_id", "line"], "left")
+    marks = marks.withColumn("_in", F.last("_u", True).over(begun)).filter(F.col("line") < F.col("_in.end"))
+    marks = marks.filter(~(F.col("text").startswith(config.UNIT_SUMMARY) | F.col("text").startswith(config.REPORT_SUMMARY)))
+    plain = F.when(F.col("text").rlike(config.HEADING), F.concat(F.regexp_extract("text", config.HEADING, 1), F.lit(" "), F.regexp_extract("text", config.HEADING, 2))).otherwise(F.col("text"))
+    rows = marks.select("doc_id", F.col("_in.hid").alias("hid"), "line", plain.alias("text"))
+    return rows.groupBy("doc_id", "hid").agg(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")).alias("text"))
+
+
+def report_rows(docs: DataFrame) -> DataFrame:
+    """Index rows (doc_id, doc_order, hid, chapter, section, summary, body, body_fold) of Markdown documents: their
+    units, and each excluded chapter as one row without a summary, in order of their headings."""
+    base = strip_summaries(docs)
+    heads = headings(markdown_lines(base))
+    found = units(base).select("doc_id", "hid", "start", "end", F.lit(False).alias("_out"))
+    out = heads.filter((F.col("depth") == 1) & F.col("parent").isNull() & T.excluded_chapter("title"))
+    found = stored(found.unionByName(out.select("doc_id", "hid", F.col("line").alias("start"), F.col("end_line").alias("end"), F.lit(True).alias("_out"))))
+    rows = found.join(unit_texts(base, found), ["doc_id", "hid"], "left").join(paths(heads).select("doc_id", "hid", "path"), ["doc_id", "hid"])
+    rows = rows.join(summaries(docs).select("doc_id", "hid", "summary"), ["doc_id", "hid"], "left")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
+    rest = F.array_join(F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))), " > ")
+    body = T.text("text")
+    return rows.select("doc_id", order.alias("doc_order"), "hid", F.element_at("path", 1).alias("chapter"), rest.alias("section"), F.when(F.col("_out"), "").otherwise(T.text("summary")).alias("summary"), body.alias("body"), T.fold(body).alias("body_fold"))
+
+
 def paths(heads: DataFrame) -> DataFrame:
     """Rows (doc_id, hid, path): titles from the root, and the ordinal path c{i}s{j}… that ids are built from."""
     rank = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("line"))

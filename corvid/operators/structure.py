@@ -17,6 +17,9 @@ PROFILES = [
     ("arabic", r"^(\d{1,2})\.(?!\s*\d)\s+\S"),
     ("bare_digit_split", r"^(\d{1,2})\z"),
 ]
+#: Ranks of bullet glyphs, and those that need a space behind them.
+BULLET_RANKS = {1: "□", 2: "○ㅇ❍◉", 3: "▸▪‣", 4: "-–∙•Ÿ"}
+DASHES = "-–"
 #: Sub-heading grammars; a line belongs to the first that it matches.
 FAMILIES = [
     ("jeol", r"^제\s*(\d{1,2})\s*절[.\s]*\S", 1),
@@ -74,11 +77,17 @@ def families(lines: DataFrame) -> DataFrame:
 
 
 def bullets(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, glyph, depth): bullets in use, ranked by their fixed order and made consecutive."""
-    order = "□○ㅇ❍◉▸▪‣∙•-–"
-    glyph = F.substring(T.strip("text"), 1, 1)
-    used = lines.select("doc_id", glyph.alias("glyph")).filter((F.col("glyph") != "") & (F.instr(F.lit(order), F.col("glyph")) > 0)).distinct()
-    return used.withColumn("depth", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.instr(F.lit(order), F.col("glyph")))))
+    """Rows (doc_id, glyph, depth): bullets in use; their ranks are made consecutive per document. Dashes need a
+    space behind them."""
+    t = T.strip("text")
+    glyph = F.substring(t, 1, 1)
+    rank = F.lit(None).cast("int")
+    for n, glyphs in BULLET_RANKS.items():
+        rank = F.when(F.instr(F.lit(glyphs), glyph) > 0, n).otherwise(rank)
+    dash = F.instr(F.lit(DASHES), glyph) > 0
+    rows = lines.select("doc_id", glyph.alias("glyph"), F.when((t != "") & (~dash | (F.substring(t, 2, 1) == " ")), rank).alias("_rank"))
+    used = rows.filter("_rank is not null").distinct()
+    return used.select("doc_id", "glyph", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_rank")).alias("depth"))
 
 
 def part_starts(pages: DataFrame) -> DataFrame:
@@ -98,19 +107,23 @@ def body_start(pages: DataFrame, ahead: int = 25) -> DataFrame:
     return rows.filter("page >= _anchor AND candidate AND NOT front AND _front = 0").groupBy("doc_id").agg(F.min("page").alias("page"))
 
 
-def clean_table(rows: Column) -> Column:
-    """Markdown of a table (array of rows of cells): repeated neighbours blanked, empty columns and rows dropped.
+def clean_tables(tables: DataFrame) -> DataFrame:
+    """``tables`` with ``md``: Markdown of the column ``rows`` (array of rows of cells).
 
-    Null if fewer than two rows or columns remain. Cells are stripped and their pipes escaped.
+    Repeated neighbours are blanked, empty columns and rows dropped; null if fewer than two rows or columns remain.
+    Cells are stripped and their pipes escaped. Each step is a column of its own, so that it is computed once.
     """
+    blank = F.lit("")
     cell = lambda c: F.replace(T.strip(c), F.lit("|"), F.lit("\\|"))
-    grid = F.transform(rows, lambda r: F.transform(r, cell))
-    grid = F.transform(grid, lambda r: F.transform(r, lambda c, i: F.when((i > 0) & (c == F.get(r, i - 1)), F.lit("")).otherwise(c)))
-    width = F.array_max(F.transform(grid, lambda r: F.size(r)))
-    keep = F.filter(F.sequence(F.lit(0), width - 1), lambda j: F.exists(grid, lambda r: F.coalesce(F.get(r, j), F.lit("")) != ""))
-    grid = F.transform(grid, lambda r: F.transform(keep, lambda j: F.coalesce(F.get(r, j), F.lit(""))))
-    grid = F.filter(grid, lambda r: F.exists(r, lambda c: c != ""))
+    some = lambda r: F.exists(r, lambda c: c != "")
+    df = tables.withColumn("_grid", F.transform("rows", lambda r: F.transform(r, cell)))
+    df = df.withColumn("_grid", F.transform("_grid", lambda r: F.transform(r, lambda c, i: F.when((i > 0) & (c == F.get(r, i - 1)), blank).otherwise(c))))
+    # of all rows together, the columns in which any cell is filled
+    used = F.array_distinct(F.flatten(F.transform("_grid", lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull()))))
+    df = df.withColumn("_keep", F.array_sort(used))
+    df = df.withColumn("_grid", F.transform(F.filter("_grid", some), lambda r: F.transform("_keep", lambda j: F.coalesce(F.get(r, j), blank))))
+    df = df.withColumn("_grid", F.filter("_grid", some))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(keep, lambda j: F.lit(" --- ")), "|"), F.lit("|"))
-    text = F.array_join(F.concat(F.array(line(F.element_at(grid, 1)), rule), F.transform(F.slice(grid, F.lit(2), F.greatest(F.size(grid) - 1, F.lit(0))), line)), "\n")
-    return F.when((F.size(grid) >= 2) & (F.size(keep) >= 2), text)
+    rule = F.concat(F.lit("|"), F.array_join(F.transform("_keep", lambda j: F.lit(" --- ")), "|"), F.lit("|"))
+    text = F.array_join(F.concat(F.array(line(F.get("_grid", F.lit(0))), rule), F.transform(F.slice("_grid", F.lit(2), F.greatest(F.size("_grid") - 1, F.lit(0))), line)), "\n")
+    return df.withColumn("md", F.when((F.size("_grid") >= 2) & (F.size("_keep") >= 2), text)).drop("_grid", "_keep")

@@ -5,28 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.operators import sync
+
+LEDGER = "filepath string, version long, content_hash string, complete boolean, batch long"
 
 
 def sync_batches(files: DataFrame, path: str, checkpoint: str):
-    """Keep the ledger at ``path`` in step with a stream of files (filepath, content, complete).
+    """Keep the ledger at ``path`` in step with a stream of files (filepath, version, content, complete).
 
-    Each micro-batch merges into a new version; a batch that is run again gives the same version, so the sink is
-    idempotent. Returns the started query.
+    Each micro-batch writes what it saw, the latest version of each file, to a folder of its number; a batch that is
+    run again overwrites its own folder only, so the sink is idempotent, and no batch reads another. Null content
+    means that the file is gone. Returns the started query; ``ledger_at`` reads the ledger.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = sync.ledger(batch).join(batch.select("filepath", "complete"), "filepath").dropDuplicates(["filepath"])
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], "filepath string, content_hash string")
-        untouched = old.join(current, "filepath", "left_anti")
-        kept = sync.apply(old.join(current.select("filepath"), "filepath", "left_semi"), current)
-        untouched.unionByName(kept).write.mode("overwrite").parquet(f"{path}/v={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("filepath").agg(F.max(F.struct("version", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), "complete")).alias("f"))
+        last.select("filepath", "f.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger (filepath, content_hash) that the batches so far make: each file's latest content unless it is gone
+    or was never complete (what is loaded and unchanged is not looked at again); of equal versions the later batch's."""
+    seen = spark.read.schema(LEDGER).parquet(path)
+    contents = seen.groupBy("filepath", "content_hash").agg(F.max(F.struct("version", "batch")).alias("at"), F.max("complete").alias("complete"))
+    last = contents.groupBy("filepath").agg(F.max_by(F.struct("content_hash", "complete"), "at").alias("f")).select("filepath", "f.*")
+    return last.filter("complete and content_hash is not null").select("filepath", "content_hash")
 
 
 def streaks(verdicts: DataFrame) -> DataFrame:
