@@ -18,7 +18,7 @@ def family(rid: Column | str) -> Column:
 
 
 def cover_number(note: Column | str) -> Column:
-    return F.regexp_extract(T.text(note), r"(?:^| · )표지 (\d{4}-\d{2})(?= · |\z)", 1)
+    return F.regexp_extract(T.text(note), r"(?:^| · )\s*표지 번호 (\d{4}-\d{2})\s*(?= · |\z)", 1)
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -86,12 +86,20 @@ def next_free(rows: DataFrame) -> DataFrame:
 
 
 def similar(rows: DataFrame, k: int = 3) -> DataFrame:
-    """For each row (id, title) the ``k`` others sharing most title words, by shared characters, then id.
+    """For each row (id, title) the ``k`` others whose title shares words with its own, by shared characters, then id.
 
-    Words are joined, not pairs of titles; ``k`` is the size of the report.
+    A word counts if it is a title word of either side and stands anywhere in the other title, also inside a longer
+    word. Words are matched through their three-character pieces and verified, so no titles are paired without cause;
+    ``k`` is the size of the report.
     """
-    words = rows.select("id", F.explode(T.title_tokens("title")).alias("word"))
-    pairs = words.join(words.select(F.col("id").alias("other"), "word"), "word").filter("id <> other")
-    shared = pairs.groupBy("id", "other").agg(F.sum(F.length("word")).alias("shared"))
+    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))))
+    titles = rows.select("id", T.text("title").alias("title")).distinct()
+    words = titles.select("id", F.explode(T.title_tokens("title")).alias("word"))
+    places = titles.filter(F.length("title") >= 3).select(F.col("id").alias("other"), "title", pieces(F.col("title")).alias("piece"))
+    # a word's first three characters are one of the pieces of every title that holds it
+    held = words.withColumn("piece", F.substring("word", 1, 3)).join(places, "piece").filter((F.col("id") != F.col("other")) & F.col("title").contains(F.col("word")))
+    held = held.select("id", "other", "word")
+    both = held.unionByName(held.select(F.col("other").alias("id"), F.col("id").alias("other"), "word")).distinct()
+    shared = both.groupBy("id", "other").agg(F.sum(F.length("word")).alias("shared"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))
     return shared.withColumn("rank", rank).filter(F.col("rank") <= k)
