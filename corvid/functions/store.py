@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_BUILT: dict[tuple, tuple] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only in local mode, where there is no other machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: the cluster needs a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="corvid-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvid-")
-    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -19,3 +32,23 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def built(name: str, source: DataFrame, build: Callable[[], DataFrame], **layout) -> DataFrame:
+    """The table that ``build`` makes of ``source``, kept while the source's files stay as they are.
+
+    What tells versions apart is the path, size and time of every file of the source; a changed file builds anew.
+    ``layout``: ``order``, columns by which the rows are range-sorted, so that row groups hold few of their values.
+    """
+    spark = source.sparkSession
+    files = source.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("string").alias("t"))
+    sign = files.distinct().agg(F.count("*"), F.sum(F.xxhash64("p", "n", "t").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, name, *source.inputFiles()[:1], *sign)
+    if key not in _BUILT:
+        df, path = build(), shared_folder(spark)
+        if order := layout.get("order"):
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.write.parquet(path)
+        _BUILT[key] = (path, df.schema)
+    path, schema = _BUILT[key]
+    return spark.read.schema(schema).parquet(path)

@@ -142,11 +142,19 @@ def unquote(c: Column | str) -> Column:
     return F.when((F.length(c) >= 2) & c.startswith('"') & c.endswith('"'), plain).otherwise(c)
 
 
+def shingles(c: Column, n: int, sign: str = "[\\s\\S]") -> Column:
+    """All stretches of ``n`` characters (each a ``sign``), overlaps and repeats included, in one pass."""
+    return F.regexp_extract_all(c, F.lit(f"(?=({sign}{{{n}}}))"), F.lit(1))
+
+
 def overlapping_count(c: Column, part: Column | str) -> Column:
     """Occurrences of a literal, overlaps included; 0 for an empty literal."""
     if isinstance(part, str):
         if not part:
             return F.lit(0)
+        if not any(part[:k] == part[-k:] for k in range(1, len(part))):  # it can't overlap itself
+            gone = F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))
+            return F.when(c.contains(part), (gone / len(part)).cast("int")).otherwise(0)
         quoted = "\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-        return F.regexp_count(c, F.lit(f"(?={quoted})"))
+        return F.when(c.contains(part), F.regexp_count(c, F.lit(f"(?={quoted})"))).otherwise(0)
     return F.when(F.length(part) > 0, F.regexp_count(c, F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))).otherwise(F.lit(0))

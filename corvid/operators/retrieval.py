@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvid import config
 from corvid.functions import text as T
+from corvid.functions.store import stored
 
 COLUMNS = list(config.WEIGHTS)
 
@@ -20,30 +21,62 @@ def admitted(variants: list[str]) -> list[str]:
 
 def corpus_size(rows: DataFrame) -> DataFrame:
     """One row (total, avg_d): rows and mean length in trigrams over all indexed columns."""
-    return rows.agg(F.count("*").alias("total"), F.avg(length()).alias("avg_d"))
+    return rows.agg(F.count("*").alias("total"), F.avg("d" if "d" in rows.columns else length()).alias("avg_d"))
 
 
 def length() -> Column:
     return reduce(lambda a, b: a + b, (F.greatest(F.length(T.text(c)) - 2, F.lit(0)) for c in COLUMNS)).cast("double")
 
 
+def lowered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the indexed columns in lower case, and d, their length."""
+    d = F.col("d") if "d" in rows.columns else length()
+    return rows.select("section_id", "filepath", "doc_order", d.alias("d"), *(F.lower(T.text(c)).alias(c) for c in COLUMNS))
+
+
 def frequency(phrase: str, path: str = "plain") -> Column:
-    """Weighted occurrences of a phrase, case ignored; on the fold path in the folded body only."""
+    """Weighted occurrences of a phrase in ``lowered`` rows; on the fold path in the folded body only."""
     if path == "fold":
-        return T.overlapping_count(F.lower(T.text("body_fold")), "".join(phrase.split()).lower()) * config.WEIGHTS["body_fold"]
-    return reduce(lambda a, b: a + b, (T.overlapping_count(F.lower(T.text(c)), phrase.lower()) * w for c, w in config.WEIGHTS.items()))
+        return T.overlapping_count(F.col("body_fold"), "".join(phrase.split()).lower()) * config.WEIGHTS["body_fold"]
+    return reduce(lambda a, b: a + b, (T.overlapping_count(F.col(c), phrase.lower()) * w for c, w in config.WEIGHTS.items()))
+
+
+def trigrams(text: str) -> list[str]:
+    return sorted({text[k : k + 3] for k in range(len(text) - 2)})
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """Rows (gram, section_id): every distinct trigram of a section's indexed columns, in lower case.
 
+    To be stored sorted by gram: a query then reads the row groups of its phrases' trigrams only.
+    """
+    every = F.concat_ws("\x01", *(F.lower(T.text(c)) for c in COLUMNS))
+    return rows.select("section_id", F.explode(F.array_distinct(T.shingles(every, 3, "[^\\x01]"))).alias("gram")).select("gram", "section_id")
+
+
+def candidates(lists: DataFrame, phrases: list[str]) -> DataFrame:
+    """Sections (section_id) that hold all trigrams of any of the phrases, from stored ``postings``."""
+    wanted = {p: trigrams(p) for p in phrases if len(p) >= 3}
+    every = sorted({g for gs in wanted.values() for g in gs})
+    met = lists.filter(F.col("gram").isin(every)).groupBy("section_id").agg(F.collect_set("gram").alias("grams"))
+    some = reduce(lambda a, b: a | b, (F.size(F.array_intersect("grams", F.array(*map(F.lit, gs)))) == len(gs) for gs in wanted.values()), F.lit(False))
+    return met.filter(some).select("section_id")
 
-def bm25(rows: DataFrame, variants: list[str], limit: int = config.PATH_LIMIT) -> DataFrame:
+
+def bm25(rows: DataFrame, variants: list[str], limit: int = config.PATH_LIMIT, lists: DataFrame | None = None) -> DataFrame:
     """Rows (variant, path, section_id, score, rank): the best ``limit`` of each variant and path.
 
-    One pass over the index counts all variants; the window's limit is applied in each partition before the
-    shuffle. Scores are negative, the best first; ties go by section id. Phrases under three characters don't match.
+    One pass over the index counts all variants, of the sections only that ``lists`` (stored ``postings``) names if
+    given; its hits are stored, as they are counted and ranked. The window's limit is applied in each partition before
+    the shuffle. Scores are negative, the best first; ties go by section id. Phrases under three characters don't match.
     """
     wanted = [(v, "plain") for v in admitted(variants) if len(v) >= 3] + [(v, "fold") for v in admitted(variants) if len("".join(v.split())) >= 3]
     counted = F.explode(F.array(*(F.struct(F.lit(k).alias("list_no"), F.lit(v).alias("variant"), F.lit(p).alias("path"), frequency(v, p).cast("double").alias("f")) for k, (v, p) in enumerate(wanted))))
     size = corpus_size(rows)
-    hits = rows.select("section_id", "doc_order", "filepath", length().alias("d"), counted.alias("h")).select("section_id", "filepath", "doc_order", "d", "h.*").filter("f > 0")
+    if lists is not None:
+        rows = rows.join(candidates(lists, [(v if p == "plain" else "".join(v.split())).lower() for v, p in wanted]), "section_id", "left_semi")
+    hits = lowered(rows).select("section_id", "doc_order", "filepath", "d", counted.alias("h")).select("section_id", "filepath", "doc_order", "d", "h.*")
+    hits = stored(hits.filter("f > 0"))
     found = hits.groupBy("list_no").agg(F.count("*").alias("n"))
     scored = hits.join(F.broadcast(found), "list_no").crossJoin(F.broadcast(size))  # one row per list; one row
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
@@ -120,10 +153,50 @@ def head_cut(body: Column, most: int = config.BODY_CHARS) -> Column:
 
 def deliver(rows: DataFrame, words: list[str], most: int = config.BODY_CHARS) -> DataFrame:
     """Rows (section_id, evidence): the whole body if it is short, else windows around the words, else its head."""
+    if not words:
+        return rows.select("section_id", F.when(F.length("body") <= most, F.col("body")).otherwise(head_cut(F.col("body"), most)).alias("evidence"))
     cut = cut_windows(rows.filter(F.length("body") > most), words)
     return rows.join(cut, "section_id", "left").select("section_id", F.when(F.length("body") <= most, F.col("body")).otherwise(F.coalesce("evidence", head_cut(F.col("body"), most))).alias("evidence"))
 
 
+def body(rows: DataFrame, requests: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """Rows (id, section_id, mode, evidence) of requests (id, section_id, mode): the full body, the text around
+    ``words``, or the section before or after (delivered as evidence is). What isn't there has no evidence."""
+    near = rows.select("section_id", F.lag("section_id").over(_order()).alias("prev"), F.lead("section_id").over(_order()).alias("next"))
+    asked = requests.join(near, "section_id", "left")
+    target = F.when(F.col("mode") == "prev", F.col("prev")).when(F.col("mode") == "next", F.col("next")).otherwise(F.col("section_id"))
+    asked = asked.withColumn("_target", target).drop("prev", "next")
+    wanted = rows.select("section_id", "body").join(asked.select(F.col("_target").alias("section_id")).distinct(), "section_id", "left_semi")
+    whole = deliver(wanted, []).select("section_id", F.col("evidence").alias("_delivered"))
+    around = cut_windows(wanted, words).select("section_id", F.col("evidence").alias("_around")) if words else whole.select("section_id", F.lit(None).cast("string").alias("_around"))
+    found = wanted.join(whole, "section_id").join(around, "section_id", "left").withColumnRenamed("section_id", "_target")
+    evidence = F.when(F.col("mode") == "full", F.col("body")).when(F.col("mode") == "around", F.col("_around")).when(F.col("mode").isin("prev", "next"), F.col("_delivered"))
+    return asked.join(found, "_target", "left").select("id", "section_id", "mode", evidence.alias("evidence"))
+
+
+def _order() -> Window:
+    return Window.partitionBy("filepath").orderBy("doc_order")
+
+
+def snippet(body: Column, phrase: str, width: int = 20) -> Column:
+    """The first occurrence of a phrase (case ignored) in brackets, with ``width`` trigrams' characters around it and
+    an ellipsis where the body goes on; null without one."""
+    at = F.locate(phrase.lower(), F.lower(body))
+    room = (width + 2 - len(phrase)) // 2 if len(phrase) < width + 2 else 0
+    start = F.greatest(at - room, F.lit(1))
+    end = F.least(at + len(phrase) + room, F.length(body) + 1)
+    text = F.concat(F.substring(body, start, at - start), F.lit("["), F.substring(body, at, F.lit(len(phrase))), F.lit("]"), F.substring(body, at + len(phrase), F.greatest(end - at - len(phrase), F.lit(0))))
+    return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), text, F.when(end <= F.length(body), "…").otherwise("")))
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """Rows (section_id, text) of sections with evidence: head, place, summary (not to be cited) and body."""
+    place = F.concat_ws(" > ", *(F.when(T.text(c) != "", F.col(c)) for c in ("chapter", "section")))
+    head = F.concat(F.lit("### ["), "section_id", F.lit("] "), T.text("report_title"), F.lit(" ("), T.text("year"), F.lit(") — report_id: "), F.regexp_extract("filepath", r"([^/]+)\.md$", 1))
+    lines = F.array(head, F.concat(F.lit("위치: "), place), F.when(T.text("summary") != "", F.concat(F.lit("요약(맥락 파악용 — 인용 금지): "), "summary")), F.lit("본문:"), F.col("evidence"))
+    return rows.select("section_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("text"))
+
+
 def citations(answers: DataFrame) -> DataFrame:
     """Rows (id, section_id): distinct section ids cited in ``answers`` (id, answer)."""
     return answers.select("id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(config.SECTION_ID), F.lit(0)))).alias("section_id"))

@@ -42,6 +42,13 @@ def diff(old: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("filepath", state.alias("state"))
 
 
+def gate(old: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows (filepath, state) that make the index unfit for search: stale (new or changed) or orphan (no file)."""
+    joined = old.select("filepath", F.col("content_hash").alias("_old")).join(current.select("filepath", "content_hash"), "filepath", "full_outer")
+    state = F.when(F.col("content_hash").isNull(), "orphan").when(~F.col("_old").eqNullSafe(F.col("content_hash")), "stale")
+    return joined.select("filepath", state.alias("state")).filter("state is not null")
+
+
 def apply(old: DataFrame, current: DataFrame) -> DataFrame:
     """The ledger after synchronisation: retained rows and those of updated files."""
     states = diff(old, current)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvid.plans import retrieval_queries, structure_queries, text_queries  # noqa: F401  each registers its queries
+from corvid.plans import page_queries, register_queries, report_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401  each registers its queries
 from corvid.plans.queries import ORACLE, QUERIES
 
 

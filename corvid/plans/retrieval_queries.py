@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvid import config
 from corvid.functions import text as T
-from corvid.functions.store import stored
+from corvid.functions.store import built, stored
 from corvid.operators import retrieval as R
 from corvid.operators import sections as S
 from corvid.operators import sync
@@ -46,8 +46,14 @@ def index(spark, sf_dir):
 
 
 def stored_index(spark, sf_dir):
-    """The index as a stored table, as retrieval reads it: chunked once, scanned for hits, counts and lengths."""
-    return stored(index(spark, sf_dir))
+    """The index as a stored table with the sections' lengths, built once and again when the documents' files change."""
+    docs = table(spark, sf_dir, "documents")
+    return built("index", docs, lambda: S.index_rows(docs).withColumn("d", R.length()))
+
+
+def stored_postings(spark, sf_dir):
+    """The index's trigram lists, sorted by trigram, built with it."""
+    return built("postings", table(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram", "section_id"])
 
 
 @query("q_flat_chunks", CHUNKS + "SELECT doc_id, k::INTEGER AS k, body FROM chunk")
@@ -180,11 +186,53 @@ def top_n(spark, sf_dir):
     return fused(spark, sf_dir, True).filter(F.col("position") <= config.TOP_SECTIONS)
 
 
+CANDIDATES_SQL = CHUNKS + """, al AS (SELECT section_id, lower(report_title || chr(1) || chapter || chr(1) || section || chr(1) || summary || chr(1) || body || chr(1) || body_fold || chr(1) || lead_researcher || chr(1) || institution) AS t FROM sec) """
+
+
+def _grams(phrase: str) -> str:
+    return " AND ".join(f"contains(t, '{g}')" for g in R.trigrams(phrase))
+
+
+@query("q_postings_candidates", CANDIDATES_SQL + f"SELECT section_id FROM al WHERE ({_grams('nicht')}) OR ({_grams('theof')})")
+def postings_candidates(spark, sf_dir):
+    return R.candidates(stored_postings(spark, sf_dir), ["nicht", "theof"])
+
+
+@query("q_bm25_postings", bm25_sql(LISTS) + "SELECT * FROM bm")
+def bm25_postings(spark, sf_dir):
+    """The same as q_bm25_weighted, through the lists of the phrases' trigrams."""
+    return R.bm25(stored_index(spark, sf_dir), VARIANTS, lists=stored_postings(spark, sf_dir))
+
+
+@query("q_snippet", CHUNKS + """, h AS (SELECT section_id, body, instr(lower(body), 'nicht') AS p FROM sec), w AS (SELECT *, greatest(p - 8, 1) AS s, least(p + 13, length(body) + 1) AS e FROM h WHERE p > 0)
+  SELECT section_id, CASE WHEN s > 1 THEN '…' ELSE '' END || substr(body, s, p - s) || '[' || substr(body, p, 5) || ']' || substr(body, p + 5, e - p - 5) || CASE WHEN e <= length(body) THEN '…' ELSE '' END AS snippet FROM w""")
+def snippet(spark, sf_dir):
+    return stored_index(spark, sf_dir).select("section_id", R.snippet(F.col("body"), "nicht").alias("snippet")).filter("snippet is not null")
+
+
+@query("q_get_body", CHUNKS + f""", w AS (SELECT *, lag(body) OVER o AS pb, lead(body) OVER o AS nb FROM sec WINDOW o AS (PARTITION BY filepath ORDER BY doc_order)),
+  r AS (SELECT section_id, unnest(['full', 'prev', 'next', 'over']) AS mode, body, pb, nb FROM w),
+  t AS (SELECT *, CASE mode WHEN 'full' THEN body WHEN 'prev' THEN pb WHEN 'next' THEN nb END AS b FROM r)
+  SELECT section_id || mode AS id, section_id, mode, CASE WHEN mode = 'full' OR length(b) <= 8000 THEN b ELSE CASE WHEN 8000 - instr(reverse(substr(b, 1, 8000)), chr(10)) > 4000 AND contains(substr(b, 1, 8000), chr(10)) THEN substr(b, 1, 8000 - instr(reverse(substr(b, 1, 8000)), chr(10))) ELSE substr(b, 1, 8000) END || chr(10) || '{config.MARK_TAIL}' END AS evidence FROM t""")
+def get_body(spark, sf_dir):
+    """Every section asked for in full and for its neighbours; a mode that doesn't exist has no evidence."""
+    rows = stored_index(spark, sf_dir)
+    modes = F.explode(F.array(*map(F.lit, ("full", "prev", "next", "over"))))
+    asked = rows.select("section_id", modes.alias("mode"))
+    return R.body(rows, asked.withColumn("id", F.concat("section_id", "mode")))
+
+
+@query("q_render_units", CHUNKS + """SELECT section_id, '### [' || section_id || '] ' || report_title || ' (' || year || ') — report_id: ' || doc_id || chr(10) || '위치: ' || chapter || ' > ' || section || chr(10)
+  || CASE WHEN summary <> '' THEN '요약(맥락 파악용 — 인용 금지): ' || summary || chr(10) ELSE '' END || '본문:' || chr(10) || body AS text FROM sec""")
+def render_units(spark, sf_dir):
+    return R.rendered(stored_index(spark, sf_dir).withColumn("evidence", F.col("body")))
+
+
 @query("q_search_evidence")
 def search_evidence(spark, sf_dir):
     """The whole question-to-evidence plan: variants, two paths, fusion, the best eight, their evidence."""
     rows = stored_index(spark, sf_dir)
-    best = R.rrf(R.bm25(rows, VARIANTS), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
+    best = R.rrf(R.bm25(rows, VARIANTS, lists=stored_postings(spark, sf_dir)), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
     return R.deliver(rows.join(F.broadcast(best.select("section_id", "position")), "section_id"), VARIANTS).join(F.broadcast(best), "section_id")
 
 
@@ -197,12 +245,14 @@ def find_spans(spark, sf_dir):
     return docs.filter(F.col("text").contains(" the")).select("doc_id", F.explode(R.spans(F.col("text"), " the")).alias("x")).select("doc_id", "x.s", "x.e")
 
 
-FOLDED = values("id, body", (1, "공 유 경제의 공유"), (2, "공  유 경 제"), (3, "공유"), (4, "공 유공 유"), (5, "없음"))
-
-
-@query("q_fold_spans", f"""SELECT id, s, e FROM (VALUES (1, 8, 10), (2, 0, 4), (3, 0, 2), (4, 0, 3), (4, 3, 6)) AS t(id, s, e)""")
+#: Documents by words of two letters with any white space in between: 'e' and 't' as letters of a folded word.
+@query("q_fold_spans", f"""WITH c AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ''), lambda x, i: {{'x': x, 'i': i - 1}}), lambda c: {sql_fold('c.x')} <> '') AS c FROM documents),
+  p AS (SELECT doc_id, unnest(list_filter(range(1, len(c) - 5), lambda k: c[k].x = 'n' AND c[k + 1].x = 'a' AND c[k + 2].x = 't' AND c[k + 3].x = 't' AND c[k + 4].x = 'h' AND c[k + 5].x = 'e')) AS k, c, text FROM c WHERE NOT contains(text, 'nat the'))
+  SELECT doc_id, c[k].i::INTEGER AS s, (c[k + 5].i + 1)::INTEGER AS e FROM p""")
 def fold_spans(spark, sf_dir):
-    return literal(spark, FOLDED).select("id", F.explode(R.spans(F.col("body"), "공유")).alias("x")).select("id", "x.s", "x.e")
+    """Where the letters stand with any white space between them, in documents that lack the phrase itself."""
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("nat the") & T.fold("text").contains("natthe"))
+    return docs.select("doc_id", F.explode(R.spans(F.col("text"), "nat the")).alias("x")).select("doc_id", "x.s", "x.e")
 
 
 WINDOW_SQL = """
@@ -269,22 +319,26 @@ def select_sections(spark, sf_dir):
 
 
 def files(spark, sf_dir):
-    """Current files: their hash, and complete if both labels' stamps are there."""
+    """Current files: their hash, and complete if the labels' stamp is there."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", F.format_string("reports/%d.md", "doc_id").alias("filepath"), T.digest("text").alias("content_hash"), F.col("quality"), (F.col("quality") == 1).alias("complete")
-    ).filter("doc_id % 10 <> 3")
+    )
 
 
 def old_ledger(spark, sf_dir):
-    """A ledger of an earlier state: every third file missing, every seventh changed since."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0")
-    return docs.select(F.format_string("reports/%d.md", "doc_id").alias("filepath"), F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(T.digest("text")).alias("content_hash"))
-
-
-FILES_SQL = """WITH lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-cur AS (SELECT 'reports/' || d.doc_id || '.md' AS filepath, sha256(d.text) AS content_hash, quality = 1 AS complete FROM documents d LEFT JOIN lab USING (doc_id) WHERE d.doc_id % 10 <> 3),
-old AS (SELECT 'reports/' || doc_id || '.md' AS filepath, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 3 <> 0),
+    """A ledger of an earlier state: the labelled documents, the poor ones with another content, and the benchmark's
+    items, of which no file is left."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("least"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id")
+    known = docs.select(F.format_string("reports/%d.md", "doc_id").alias("filepath"), F.when(F.col("least") == 0, F.concat(F.lit("old"), (F.col("doc_id") % 2).cast("string"))).otherwise(T.digest("text")).alias("content_hash"))
+    gone = table(spark, sf_dir, "benchmark").select(F.format_string("reports/b%d.md", "item_id").alias("filepath"), T.digest("text").alias("content_hash"))
+    return known.unionByName(gone)
+
+
+FILES_SQL = """WITH lab AS (SELECT doc_id, max(quality) AS quality, min(quality) AS least FROM labels GROUP BY doc_id),
+cur AS (SELECT 'reports/' || d.doc_id || '.md' AS filepath, sha256(d.text) AS content_hash, quality = 1 AS complete FROM documents d LEFT JOIN lab USING (doc_id)),
+old AS (SELECT 'reports/' || doc_id || '.md' AS filepath, CASE WHEN least = 0 THEN 'old' || doc_id % 2 ELSE sha256(text) END AS content_hash FROM documents JOIN lab USING (doc_id) UNION ALL SELECT 'reports/b' || item_id || '.md', sha256(text) FROM benchmark),
 dif AS (SELECT filepath, CASE WHEN c.content_hash IS NULL THEN 'removed' WHEN o.content_hash = c.content_hash THEN 'synced' WHEN NOT coalesce(c.complete, false) THEN 'gated' ELSE 'updated' END AS state
   FROM old o FULL JOIN cur c USING (filepath)) """
 
@@ -304,6 +358,25 @@ def stale_orphans(spark, sf_dir):
     return sync.diff(old_ledger(spark, sf_dir), files(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("q_freshness_gate", FILES_SQL + "SELECT filepath, CASE WHEN c.content_hash IS NULL THEN 'orphan' ELSE 'stale' END AS state FROM old o FULL JOIN cur c USING (filepath) WHERE c.content_hash IS NULL OR o.content_hash IS DISTINCT FROM c.content_hash")
+def freshness_gate(spark, sf_dir):
+    return sync.gate(old_ledger(spark, sf_dir), files(spark, sf_dir))
+
+
+@query("q_rebuild_equivalence", FILES_SQL + "SELECT count(*) AS rebuilt, 0::BIGINT AS missing, 0::BIGINT AS surplus FROM cur WHERE complete")
+def rebuild_equivalence(spark, sf_dir):
+    """Synchronising step by step leads to the ledger that a rebuild makes: from nothing, from an earlier state with
+    all files complete, and again with nothing to do."""
+    now = files(spark, sf_dir)
+    empty = now.select("filepath", "content_hash").limit(0)
+    rebuilt = stored(sync.apply(empty, now))
+    earlier = stored(sync.apply(old_ledger(spark, sf_dir), now))
+    # what was synced before is not looked at again, so its stamps may be gone: the gate of a rebuild takes it out
+    step = sync.apply(earlier, now).join(now.filter("complete").select("filepath"), "filepath", "left_semi")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(rebuilt, "rebuilt").crossJoin(count(rebuilt.exceptAll(step), "missing")).crossJoin(count(step.exceptAll(rebuilt), "surplus"))
+
+
 STAMPED = """WITH s AS (SELECT d.doc_id, '2026-01-01' AS verified_register, CASE WHEN l.doc_id IS NOT NULL THEN '2026-01-02' ELSE '' END AS verified_extract,
   CASE WHEN l.quality = 1 THEN '2026-01-03' ELSE '' END AS verified_annotate, d.source, d.text FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)) """
 
@@ -334,7 +407,7 @@ def stamp_ladder(spark, sf_dir):
 
 
 @query("q_catalog", STAMPED + """SELECT 'reports/' || doc_id || '.md' AS filepath, '## Report ' || doc_id || chr(10) || '- 파일: reports/' || doc_id || '.md' || chr(10) || '- 발간: ' || (2000 + doc_id % 25)
-  || chr(10) || '- 연구책임자: ' || source || chr(10) || '- 요약: ' || substr(text, 1, 80) AS entry FROM s WHERE verified_extract <> '' AND verified_annotate <> ''""")
+  || chr(10) || '- 연구책임자: ' || source || chr(10) || '- 요약: ' || text AS entry FROM s WHERE verified_extract <> '' AND verified_annotate <> ''""")
 def catalog(spark, sf_dir):
-    rows = stamped(spark, sf_dir).select("*", F.format_string("Report %d", "doc_id").alias("title"), F.format_string("reports/%d.md", "doc_id").alias("filepath"), (F.lit(2000) + F.col("doc_id") % 25).cast("string").alias("year"), F.col("source").alias("lead_researcher"), F.substring("text", 1, 80).alias("summary"))
+    rows = stamped(spark, sf_dir).select("*", F.format_string("Report %d", "doc_id").alias("title"), F.format_string("reports/%d.md", "doc_id").alias("filepath"), (F.lit(2000) + F.col("doc_id") % 25).cast("string").alias("year"), F.col("source").alias("lead_researcher"), F.col("text").alias("summary"))
     return sync.catalogue(rows)

@@ -27,9 +27,9 @@ def canon(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.canon("text").alias("canon"))
 
 
-@query("q_fold_title", f"SELECT doc_id, lower({sql_fold('substr(text, 1, 60)')}) AS title FROM documents")
+@query("q_fold_title", f"SELECT doc_id, lower({sql_fold('text')}) AS title FROM documents")
 def fold_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold_title(F.substring("text", 1, 60)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_title("text").alias("title"))
 
 
 CAP = 2000

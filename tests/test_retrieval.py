@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvid import config
@@ -123,10 +124,20 @@ def test_citations(spark):
     assert {r.section_id for r in R.citations(rows).collect()} == {"보고서-1_c2s3", "x_c1"}
 
 
-def test_coverage_by_either_way(spark):
+@pytest.mark.parametrize("few", [10, 0])
+def test_passages_of_any_length(spark, monkeypatch, few):
     from corvid.operators import checks
 
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "over the qu ick brown"), (3, "")], "doc_id long, text string")
-    needles = spark.createDataFrame([(1, "quick  brown fox"), (2, "the quick brown"), (3, "short")], "item_id long, text string")
-    for few in (10, 0):
-        assert {tuple(r) for r in checks.coverage(needles, docs, few).collect()} == {(1, 1), (2, 1), (2, 2)}
+    monkeypatch.setattr(checks, "FEW", few)
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "over the qu ick brown"), (3, ""), (4, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([(1, "quick  brown fox"), (2, "the quick brown"), (3, "ov er"), (4, ""), (5, None), (6, "x")], "item_id long, text string")
+    assert {tuple(r) for r in checks.passages(needles, docs).collect()} == {(1, 1), (2, 1), (2, 2), (3, 2), (6, 1)}
+    assert checks.passages(needles.limit(0), docs).collect() == []
+
+
+def test_postings_narrow_the_search(spark):
+    rows = spark.createDataFrame([(f"s{k}", "f", k, *(["Some Title", "", "", "", t, t, "", ""])) for k, t in enumerate(("abcd xyz", "ab cd", "zzz", "xABCDx"))], "section_id string, filepath string, doc_order int, report_title string, chapter string, section string, summary string, body string, body_fold string, lead_researcher string, institution string")
+    lists = R.postings(rows)
+    assert {r.section_id for r in R.candidates(lists, ["abcd"]).collect()} == {"s0", "s3"}
+    plain = R.bm25(rows, ["abcd"]).collect()
+    assert {tuple(r) for r in plain} == {tuple(r) for r in R.bm25(rows, ["abcd"], lists=lists).collect()} and len(plain) == 4

@@ -1,6 +1,7 @@
 """Heading trees, streaming, readers, and every registered query on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from corvid.operators import judge
@@ -63,14 +64,17 @@ def test_streaming_streaks_equal_batch(spark, tmp_path):
 
 
 def test_streaming_sync(spark, tmp_path):
-    schema = "filepath string, content string, complete boolean"
-    spark.createDataFrame([("a", "1", True), ("b", "1", False)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    schema = "filepath string, version long, content string, complete boolean"
     read = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    stream.sync_batches(read(), f"{tmp_path}/ledger", f"{tmp_path}/c").awaitTermination()
-    assert {r.filepath for r in spark.read.parquet(f"{tmp_path}/ledger/v=0").collect()} == {"a"}
-    spark.createDataFrame([("b", "2", True), ("c", "1", True)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream.sync_batches(read(), f"{tmp_path}/ledger", f"{tmp_path}/c").awaitTermination()
-    assert {r.filepath for r in spark.read.parquet(f"{tmp_path}/ledger/v=1").collect()} == {"a", "b", "c"}
+
+    def step(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream.sync_batches(read(), f"{tmp_path}/ledger", f"{tmp_path}/c").awaitTermination()
+        return {r.filepath for r in stream.ledger_at(spark, f"{tmp_path}/ledger").collect()}
+
+    assert step(("a", 1, "1", True), ("b", 1, "1", False)) == {"a"}
+    assert step(("b", 2, "2", True), ("c", 1, "1", True), ("c", 2, "2", False)) == {"a", "b"}
+    assert step(("a", 2, "1", False), ("b", 3, None, True)) == {"a"}  # unchanged, gone
 
 
 def test_registry_files(spark, tmp_path):
@@ -94,6 +98,38 @@ def test_markdown_files(spark, tmp_path):
 
 
 
+def test_front_matter_is_rewritten(spark):
+    from corvid.operators import frontmatter as M
+
+    head = "---\nreport_id: R\nverified_annotate: z\nsummary_reviewed: x\nverified_register: a\n---\nverified_extract: body"
+    row = spark.createDataFrame([(head,)], "t string")
+    stamps = [F.lit(v) for v in ("1", "2", "")]
+    got = row.select(M.with_stamps(F.col("t"), *stamps).alias("s"), M.with_reviewed(F.col("t"), F.array(F.lit("b"), F.lit("a"))).alias("r"), M.with_stamps(F.col("t"), F.lit(""), F.lit("2"), F.lit("")).alias("broken")).first()
+    assert got.s == "---\nreport_id: R\nsummary_reviewed: x\nverified_register: 1\nverified_extract: 2\n---\nverified_extract: body"
+    assert got.r == "---\nreport_id: R\nsummary_reviewed: a b\nverified_annotate: z\nverified_register: a\n---\nverified_extract: body" and got.broken is None
+    none = spark.createDataFrame([("no front matter",), (None,), ("",)], "t string").select(M.with_stamps(F.col("t"), F.lit(""), F.lit(""), F.lit("")).alias("s"), M.without_stamps(F.col("t")).alias("w")).collect()
+    assert [r.s for r in none] == ["no front matter", None, ""] and [r.w for r in none] == ["no front matter", None, ""]
+
+
+def test_assigned_ids_are_swapped_or_left(spark):
+    from corvid.operators import register
+
+    rows = spark.createDataFrame([("a", "", "2020-01", "cover", "", "d", ""), ("b", "", "2020-02", "cover", "", "d", ""), ("c", "", "", "", "", "", "")], "file string, pages string, report_id string, source string, cover_title string, registered string, note string")
+    ask = lambda *x: spark.createDataFrame(x, "batch string, file string, pages string, report_id string")
+    new = lambda *x: {r.file: r.report_id for r in register.assign(rows, ask(*x), "today").collect()}
+    assert new(("1", "a", "", "2020-02"), ("1", "b", "", "2020-01"), ("2", "c", "", "2021-00")) == {"a": "2020-02", "b": "2020-01", "c": "2021-00-v1"}
+    assert new(("1", "c", "", "2020-02")) == {"a": "2020-01", "b": "2020-02", "c": ""}
+
+
+def test_contents_chains(spark):
+    from corvid.operators import pages
+
+    texts = {0: ["목 차", "a"], 1: ["1", "2", "3"], 2: ["plain"], 3: ["CONTENTS"], 4: ["4", "표 차례"], 5: ["5", "6", "7"]}
+    rows = [(1, p, k, t) for p, ts in texts.items() for k, t in enumerate(ts)]
+    got = {r.page: r.lane for r in pages.contents_pages(spark.createDataFrame(rows, "doc_id int, page int, line int, text string")).collect()}
+    assert got == {0: "primary", 1: "primary", 3: "secondary", 4: "secondary"}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_runs(spark, name):
     df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
