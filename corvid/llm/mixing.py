@@ -20,6 +20,8 @@ from corvid.llm.common import n_words, packed, running_total, scratch, spread
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Shapes of the curriculum by rank, repeating: knots (time, factor); each integrates to 1.
 SHAPES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)))
+#: Digits of a position, and slices of the training time in which places are counted.
+DIGITS, SLICES = 6, 4096
 SEGMENTS = "array<struct<t0:double,t1:double,w0:double,w1:double,c0:double,c1:double>>"
 
 
@@ -97,14 +99,22 @@ def words_taken(turn: Column) -> Column:
 
 
 def mix(docs: DataFrame, *, share: float = 1.5, most: int = 2, weights=WEIGHTS, shapes=SHAPES) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position of its first use (null if unused)."""
+    """One row per document: doc_id, size, source_size, target, taken, position of its first use and its place among
+    the first uses (from 0; both null if unused), range-sorted by position, the unused ones last.
+
+    Places are counted in two levels, by slices of the training time and within them.
+    """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     rows = plan(sized, share=share, most=most, weights=weights, shapes=shapes)
     taken = sum((words_taken(F.lit(k)) for k in range(most)), F.lit(0))
     first = position(F.col("_at") / F.col("_budget"), F.col("segments"))
-    return rows.withColumn("taken", taken.cast("long")).select(
-        "doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, first).alias("position")
-    )
+    rows = rows.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, F.round(first, DIGITS)))
+    rows = scratch(rows.select("doc_id", "size", "source_size", "target", "taken", "position"), "positions")
+    used = rows.filter("position is not null").withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+    used = used.withColumn("_slice", F.floor(F.col("position") * SLICES).cast("int"))
+    used = running_total(used, ["_all"], "_slice", ["position", F.col("doc_id").asc_nulls_first(), "size"], "_one", "place").drop("_all", "_one", "_slice")
+    rows = used.withColumn("place", F.col("place").cast("long")).unionByName(rows.filter("position is null").withColumn("place", F.lit(None).cast("long")))
+    return rows.repartitionByRange(F.col("place").asc_nulls_last()).sortWithinPartitions(F.col("place").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, *, share: float = 1.5, most: int = 2, weights=WEIGHTS, shapes=SHAPES) -> DataFrame:

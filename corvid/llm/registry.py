@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from corvid.llm import bpe, digest, licenses, lines, mixing, paragraphs, quality, sharding, simhash, suffixes
 from corvid.llm.common import documents
 
@@ -58,8 +56,8 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_mixing(spark, sf_dir):
-    """Mix all documents: words taken per document and the training position of its first use."""
-    return mixing.mix(documents(spark, sf_dir)).withColumn("position", F.round("position", 6))
+    """Mix all documents: words taken per document, the training position of its first use and its place in order."""
+    return mixing.mix(documents(spark, sf_dir))
 
 
 OP5_SQL = r"""
@@ -81,9 +79,10 @@ WITH d AS (
 ), k AS (
   SELECT *, (least(greatest(budget - place, 0), size) + least(greatest(budget - source_size - place, 0), size))::BIGINT AS taken FROM p
 )
-SELECT doc_id, size, source_size, target, taken,
+, o AS (SELECT doc_id, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN round(CASE WHEN place = 0 THEN 0 ELSE 2 * (place / budget) / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * (place / budget))) END, 6) END AS position
-FROM k
+FROM k)
+SELECT *, CASE WHEN position IS NOT NULL THEN row_number() OVER (PARTITION BY position IS NULL ORDER BY position, doc_id NULLS FIRST, size) - 1 END AS place FROM o
 """
 
 OP6_SQL = r"""
