@@ -5,7 +5,9 @@ the limit are removed, and documents left with too little are rejected. Built-in
 
 The host of a document is its ``source``. Equal texts count as one document, so copies don't condemn each other.
 Defined cases: a null text is empty (and fails the word rule); a null source is a host of its own; an empty table
-gives an empty result; repeated rows each get the same verdict; extra columns are not read.
+gives an empty result; repeated rows each get the same verdict; very long texts are taken whole, their lines and
+windows being arrays of one row; of lines that tie at the limit all stay (over the limit is meant); extra columns are
+not read (``clean`` returns them).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import WORD, checked_broadcast, packed, scratch
+from corvid.llm.common import BROADCAST_ROWS, WORD, packed, scratch
 
 WINDOW = 5  # words
 MIN_WORDS = 10
@@ -74,6 +76,12 @@ def common_lines(lines: DataFrame, share: float = MAX_SHARE, least: int = MIN_TE
     return above.groupBy("_host").agg(F.sort_array(F.collect_list("_h")).alias("_common"))
 
 
+def bounded(common: DataFrame) -> DataFrame:
+    """``common`` for a broadcast if its hosts and hashes are few (some 1 MB); else for a shuffled join."""
+    n = common.agg(F.count("*") + F.coalesce(F.sum(F.size("_common")), F.lit(0))).first()[0]
+    return F.broadcast(common) if n <= BROADCAST_ROWS else common
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """Adds n_removed_lines, n_left, base_failed and kept to rows with base figures, _lines and _common."""
     gone = F.filter("_lines", lambda x: F.array_contains("_common", x["h"]))
@@ -95,7 +103,7 @@ def judge(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", host(F.col("source")).alias("_host"), text.alias("_text"), F.xxhash64(text).alias("_text_id"))
     rows = scratch(with_base(rows).drop("_text"), "quality")
-    rows = rows.join(checked_broadcast(common_lines(rows, share, least), 10_000), "_host", "left")
+    rows = rows.join(bounded(scratch(common_lines(rows, share, least), "common-lines")), "_host", "left")
     return verdict(rows).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_left", "kept"
     )
@@ -111,7 +119,7 @@ def clean(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) ->
     common = scratch(common_lines(lines, share, least), "common-lines")
     # written once, so that the verdict's expressions read the base figures instead of repeating them
     rows = scratch(with_base(keyed).drop("text"), "quality-base")
-    rows = verdict(rows.join(checked_broadcast(common, 10_000), "_host", "left")).filter("kept")
+    rows = verdict(rows.join(bounded(common), "_host", "left")).filter("kept")
     stays = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~(x.rlike(A_WORD) & F.array_contains("_common", line_hash(x)))), "\n")
     rows = rows.withColumn("_new", F.when(F.col("n_removed_lines") > 0, stays).otherwise(F.col("_text")))
     return rows.withColumn("text", F.col("_new")).select(*columns)
