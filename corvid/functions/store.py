@@ -34,6 +34,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def built(name: str, source: DataFrame, build: Callable[[], DataFrame], **layout) -> DataFrame:
     """The table that ``build`` makes of ``source``, kept while the source's files stay as they are.
 
@@ -44,7 +49,7 @@ def built(name: str, source: DataFrame, build: Callable[[], DataFrame], **layout
     files = source.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("string").alias("t"))
     sign = files.distinct().agg(F.count("*"), F.sum(F.xxhash64("p", "n", "t").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, name, *source.inputFiles()[:1], *sign)
-    if key not in _BUILT:
+    if key not in _BUILT or not exists(spark, _BUILT[key][0]):
         df, path = build(), shared_folder(spark)
         if order := layout.get("order"):
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -149,12 +149,13 @@ def assign_ids(spark, sf_dir):
     return G.assign(one_row_each(spark, sf_dir), changes(spark, sf_dir), "2026-09-01")
 
 
-@query("q_rename_reports", r"""WITH p AS (SELECT doc_id, printf('%04d-%02d', 2000 + doc_id % 25, doc_id % 60) || '-v' || (1 + doc_id // 1500) AS old, CASE WHEN doc_id % 3 = 0 THEN 'own-' || doc_id ELSE printf('%04d-%02d', 2001 + doc_id % 25, doc_id % 60) || '-v' || (1 + doc_id // 1500) END AS new, text FROM documents)
+@query("q_rename_reports", r"""WITH p AS (SELECT doc_id, printf('%04d-%02d', 2000 + doc_id % 25, doc_id % 60) || '-' || chr((98 + doc_id // 300 % 25)::INTEGER) || '-v' || (1 + doc_id // 7500) AS old, CASE WHEN doc_id % 3 = 0 THEN 'own-' || doc_id ELSE printf('%04d-%02d', 2001 + doc_id % 25, doc_id % 60) || '-' || chr((98 + doc_id // 300 % 25)::INTEGER) || '-v' || (1 + doc_id // 7500) END AS new, text FROM documents)
   SELECT new AS rid, '---' || chr(10) || 'report_id: ' || new || chr(10) || 'year: ' || CASE WHEN doc_id % 3 = 0 THEN 2000 + doc_id % 25 ELSE 2001 + doc_id % 25 END || chr(10) || 'summary_reviewed: ' || new || '_c1 ' || new || '_c2s1' || chr(10) || '---' || chr(10)
     || '# One <!-- id: ' || new || '_c1 -->' || chr(10) || text || chr(10) || 'see ' || old || '_c1' AS text FROM p""")
 def rename_reports(spark, sf_dir):
     i = F.col("doc_id")
-    tail = F.format_string("-%02d-v%d", i % 60, 1 + F.floor(i / 1500))
+    letter = F.char((98 + F.floor(i / 300) % 25).cast("int"))
+    tail = F.format_string("-%02d-%s-v%d", i % 60, letter, 1 + F.floor(i / 7500))
     old, moved = F.concat((2000 + i % 25).cast("string"), tail), F.concat((2001 + i % 25).cast("string"), tail)
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", old.alias("old"), F.when(i % 3 == 0, F.format_string("own-%d", i)).otherwise(moved).alias("new"))
     head = F.concat(F.lit("---\nreport_id: "), F.col("old"), F.lit("\nyear: "), (2000 + i % 25).cast("string"), F.lit("\nsummary_reviewed: "), F.col("old"), F.lit("_c1 "), F.col("old"), F.lit("_c2s1\n---\n# One <!-- id: "), F.col("old"), F.lit("_c1 -->\n"))
