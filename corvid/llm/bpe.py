@@ -27,7 +27,7 @@ from corvid.llm.common import release
 
 #: Bytes, roughly, of what a worker remembers of runs of text, and a quarter as much of pieces; halves of it are
 #: forgotten in turn.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 #: Pieces longer than this are encoded on their own; shorter ones together, position by position.
 TOGETHER = 192
 #: Characters of text that are worked on together.
@@ -280,25 +280,24 @@ class Recent:
     def forget(self) -> None:
         self.young, self.old, self.held = {}, {}, 0
 
-    def add(self, text, packed: bytes) -> None:
-        if len(text) > 64:
-            return
-        self.held += 200 + len(text) + len(packed)
+    def add(self, new: dict[str, bytes]) -> None:
+        new = {text: packed for text, packed in new.items() if len(text) <= 64}
+        self.held += 200 * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        self.young.update(new)
         if self.held > self.size:
             self.young, self.old, self.held = {}, self.young, 0
-        self.young[text] = packed
 
-    def split(self, wanted: set) -> tuple[dict, list]:
+    def split(self, wanted: set[str]) -> tuple[dict[str, bytes], set[str]]:
         """What is known of ``wanted``, and the rest."""
-        young, old, known, new = self.young.get, self.old.get, {}, []
-        for text in wanted:
-            if (packed := young(text)) is None:
-                if (packed := old(text)) is None:
-                    new.append(text)
-                    continue
-                self.add(text, packed)
-            known[text] = packed
-        return known, new
+        young, old = self.young, self.old
+        here = wanted & young.keys()
+        known, rest = {x: young[x] for x in here}, wanted - here
+        again = rest & old.keys()
+        if again:
+            met = {x: old[x] for x in again}
+            known |= met
+            self.add(met)
+        return known, rest - again
 
 
 class Encoder:
@@ -340,14 +339,13 @@ class Encoder:
         """The same, remembered."""
         out, new = self.pieces.split(wanted)
         now = self.computed(new)
-        for text, packed in now.items():
-            self.pieces.add(text, packed)
+        self.pieces.add(now)
         return out | now
 
     def of_runs(self, memory: Recent, lead: str, wanted: set[str]) -> dict[str, bytes | None]:
         """Ids of runs between single spaces, which no match of the pattern spans; None where that isn't so."""
         out, new = memory.split(wanted)
-        findall, add, one, several = self.pattern.findall, memory.add, [], []
+        findall, one, several = self.pattern.findall, [], []
         for x in new:
             if not x or x[0].isspace() or x[-1].isspace():
                 out[x] = None
@@ -356,14 +354,11 @@ class Encoder:
             else:
                 several.append((x, ms))
         now = self.computed([lead + x for x in one])  # a piece of its own is remembered as a run
-        for x in one:
-            out[x] = packed = now[lead + x]
-            add(x, packed)
+        found = {x: now[lead + x] for x in one}
         pieces = self.of_pieces({m for _, ms in several for m in ms})
-        for x, ms in several:
-            out[x] = packed = b"".join([pieces[m] for m in ms])
-            add(x, packed)
-        return out
+        found |= {x: b"".join([pieces[m] for m in ms]) for x, ms in several}
+        memory.add(found)
+        return out | found
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """``text`` in parts of about ``GROUP`` characters, and whether a part is plain; cut only where a match starts."""
