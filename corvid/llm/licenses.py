@@ -3,8 +3,9 @@
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. The hashes of a template's word trigrams
 are winnowed (the least of every three in a row), which any shared run of five words hits. A document's trigrams
 are looked up in the index (the templates are few and fixed); hits of a template on nearby diagonals make a
-candidate, which is aligned word by word within a band around them. Matches that cover enough of the template are
-reported with their place in the text.
+candidate, however few, which is aligned word by word within a band around them. Matches that cover enough of the
+template are reported with their place in the text, of overlapping ones of a template the best. Short notices (of a
+few words) match as they stand only: a changed word may be the license's name.
 
 Defined cases: a null text is empty and has no matches; the same template may match at several places; a long text
 is taken whole, looked up in overlapping pieces; repeated rows each get their matches; an empty table gives an
@@ -75,14 +76,12 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.words: dict[str, list[bytes]] = {}
         self.postings: dict[tuple[bytes, ...], list[tuple[str, int]]] = defaultdict(list)
-        self.size: dict[str, int] = {}
         keys = []
         for name, text in templates.items():
             data, spans = words_of(text)
             words = self.words[name] = [data[a:b] for a, b in spans]
             h, *_ = gram_hashes(data)
             picked = sorted({int(np.argmin(h[k : k + RUN])) + k for k in range(max(1, len(h) - RUN + 1))}) if len(h) else []
-            self.size[name] = len(picked)
             keys += [int(h[k]) for k in picked]
             for k in picked:
                 self.postings[tuple(words[k : k + GRAM])].append((name, k))
@@ -164,14 +163,19 @@ def matches(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str,
                 groups[-1].append((d, j))
             else:
                 groups.append([(d, j)])
+        found = []
         for g in groups:
-            if len(g) < max(1, 0.3 * index.size[name]):
-                continue
             n, first, last = align(template, words, g[0][0] - band, g[-1][0] + band)
             if n >= least * len(template):
-                a, b = spans[first][0], spans[last][1]
-                start = len(data[:a].decode())
-                out.add((name, round(n / len(template), 6), n, start, start + len(data[a:b].decode())))
+                found.append((-n, first, last))
+        taken: list[tuple[int, int]] = []
+        for n, first, last in sorted(set(found)):  # of overlapping matches the best one
+            if any(first <= b and a <= last for a, b in taken):
+                continue
+            taken.append((first, last))
+            a, b = spans[first][0], spans[last][1]
+            start = len(data[:a].decode())
+            out.add((name, round(-n / len(template), 6), -n, start, start + len(data[a:b].decode())))
     return sorted(out, key=lambda m: (m[3], m[0], m[4]))
 
 

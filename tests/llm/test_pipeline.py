@@ -87,3 +87,20 @@ def test_pipeline(spark, tmp_path):
     assert max(collections.Counter(r.doc_id for r in out).values()) <= 2
     assert all(abs(taken[s] - target[s]) <= max(len(WORD.findall(t)) for _, t, _ in kept) for s in sizes)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns; and an empty table."""
+    rng = random.Random(22)
+    long = "\n".join(words(rng, 40) for _ in range(3000))
+    same = words(rng, 40)
+    rows = [(1, words(rng, 30), "en", "a", 7), (1, same, None, None, 7), (2, same, "en", "b", None), (2, same, "en", "b", None), (None, words(rng, 25), "en", "a", 7), (None, None, None, None, None), (3, None, "en", "a", 7), (4, "", "en", "a", 7), (5, long, "en", "c", 7)]
+    for name, clash in (("plain", []), ("clash", ["_row", "_key", "node", "key", "ids", "n_tokens", "_text", "shard"])):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for c in clash:
+            docs = docs.withColumn(c, docs.n_chars)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} == {1, 5, None} and all(r.n_tokens > 0 for r in out)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
