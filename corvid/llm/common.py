@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvid.functions.store import shared_root
+
+#: The tables of the running ``cleared`` block.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most this many short rows may be broadcast.
@@ -33,22 +39,42 @@ def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corvid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The shared folder of the cluster; a temporary one only in local mode, where none is set in tests."""
+    return shared_root(spark)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a ``scratch`` that also removes the tables written before it within this block: the next step reads its
+    result only, and that is complete in the shared folder."""
+    made: list[str] = []
+    token = _MADE.set(made)
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        out = scratch(df, name)
+        spark = df.sparkSession
+        for path in made[:-1]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del made[:-1]
+        return out
+
+    try:
+        yield settled
+    finally:
+        _MADE.reset(token)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` has at most ``rows`` rows; else leave it to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
