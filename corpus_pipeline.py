@@ -1,7 +1,13 @@
 """From raw documents to token ids in five stages, each an operator of the ``llm`` subpackage.
 
 Quality rules, line dedup, SimHash near-dedup, mixing to target weights, byte-level BPE. Every stage works on all
-that its predecessor kept; each result is written as Parquet to the shared folder and read again.
+that its predecessor kept; each result is written as Parquet to the shared folder and read again. What a stage wrote
+beside its result is removed when that is there.
+
+Defined cases: a null or empty text fails the quality rules; a null source is a source and a host of its own; a null
+doc_id comes last where documents are put in order and keeps its row; rows repeated in full are one document from line
+dedup on, and of them one stays; of ties the smallest doc_id stays, then the smallest text hash; very long texts are
+taken whole; an empty table gives an empty result; further columns go along to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import bpe, lines, mixing, quality, simhash
-from corvid.llm.common import documents, scratch
+from corvid.llm.common import cleared, documents
 
 #: Words of a line that goes as a later copy even if no line beside it is repeated.
 LONG_LINE = 50
@@ -58,6 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+    with cleared() as settled:
+        for name, stage in STAGES:
+            docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
