@@ -21,12 +21,15 @@ DRIFT, SHOWN, LOGGED = 0.05, 20, 200
 def passages(needles: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (item_id, doc_id): the folded needle (without glyphs, not empty) is anywhere in the folded document.
 
-    Needles meet their candidates on their first GRAM characters (shorter ones on all of theirs), an equi-join on the
-    documents' shingles of these lengths, and are then verified. Shingles that no needle begins with don't leave the
-    scan while the needles' beginnings are few enough to be broadcast.
+    A handful of needles (up to LOOP) is broadcast and looked for in one pass: that costs less than cutting the
+    documents into shingles. More of them meet their candidates on their first GRAM characters (shorter ones on all of
+    theirs), an equi-join on the documents' shingles of these lengths, and are then verified. Shingles that no needle
+    begins with don't leave the scan while the needles' beginnings are few enough to be broadcast.
     """
     sought = needles.select("item_id", T.fold_glyphs("text").alias("needle")).filter("needle <> ''").withColumn("gram", F.substring("needle", 1, GRAM))
     folded = docs.select("doc_id", T.fold_glyphs("text").alias("hay"))
+    if sought.limit(LOOP + 1).count() <= LOOP:
+        return folded.join(F.broadcast(sought), F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
     lengths = sorted(r[0] for r in sought.select(F.length("gram")).distinct().collect())  # at most GRAM rows
     if not lengths:
         return sought.select("item_id").join(folded.select("doc_id"), F.lit(False))
@@ -38,8 +41,8 @@ def passages(needles: DataFrame, docs: DataFrame) -> DataFrame:
     return met.join(sought, "item_id").join(folded, "doc_id").filter(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
-#: Beginnings of needles that are broadcast (some 5 MB).
-FEW = 100_000
+#: Needles that are looked for one by one, and beginnings of needles that are broadcast (some 5 MB).
+LOOP, FEW = 500, 100_000
 
 
 def uncovered(lines: DataFrame, docs: DataFrame) -> DataFrame:

@@ -16,25 +16,21 @@ KEYS = ["report_id", "title", "title_en", "year", "lead_researcher", "institutio
 REVIEWED = "summary_reviewed:"
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n")
+def head(text: Column) -> Column:
+    """``---`` and the lines of the front matter, each with its line feed; blank without front matter."""
+    at = F.locate("\n---\n", F.concat(text, F.lit("\n")), 4)
+    return F.when(text.startswith("---\n") & (at > 0), F.substring(text, F.lit(1), at)).otherwise(F.when(text.isNotNull(), ""))
 
 
-def fence(lines: Column) -> Column:
-    """0-based line of the closing ``---``; null without front matter."""
-    at = F.array_position(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "---")
-    return F.when((F.element_at(lines, 1) == "---") & (at > 0), at.cast("int"))
-
-
-def block(lines: Column) -> Column:
-    """The lines of the front matter; none without it."""
-    return F.slice(lines, F.lit(2), F.coalesce(fence(lines) - 1, F.lit(0)))
+def rest(text: Column) -> Column:
+    """What follows ``head``, from the closing fence on."""
+    return F.substring(text, F.length(head(text)) + 1, F.length(text))
 
 
 def raw_value(text: Column, key: str) -> Column:
     """The value of a key as it is written (the last, if it is repeated); null without the key."""
-    own = F.filter(block(lines_of(text)), lambda x: x.startswith(f"{key}:"))
-    return F.when(F.size(own) > 0, T.strip(F.substring(F.element_at(own, -1), len(key) + 2, 1 << 30)))
+    found = F.regexp_extract_all(head(text), F.lit(f"(?md)^{key}:(.*)$"), F.lit(1))
+    return F.when(F.size(found) > 0, T.strip(F.element_at(found, -1)))
 
 
 def findings(docs: DataFrame) -> DataFrame:
@@ -62,26 +58,25 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.finding", "f.detail")
 
 
-def _is_stamp(x: Column) -> Column:
-    return reduce(lambda a, b: a | b, (x.startswith(f"{s}:") for s in config.STAMPS))
+STAMP_LINE = f"(?:{'|'.join(config.STAMPS)}):.*\\n"
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(head(text), f"(?md)^{STAMP_LINE}", "")
 
 
 def without_stamps(text: Column) -> Column:
     """``text`` without the stamp lines of its front matter."""
-    lines = lines_of(text)
-    end = F.coalesce(fence(lines), F.lit(0))
-    return F.array_join(F.filter(lines, lambda x, i: ~((i < end) & _is_stamp(x))), "\n")
+    return F.concat(_bare(text), rest(text))
 
 
 def with_stamps(text: Column, register: Column, extract: Column, annotate: Column) -> Column:
-    """``text`` with these stamps (blank: none) before the closing fence; null if one stands on a blank one."""
-    rest = lines_of(without_stamps(text))
-    end = F.coalesce(fence(rest), F.lit(0))
+    """``text`` with these stamps (blank: none) before the closing fence; null if one stands on a blank one, or if there
+    is no front matter for them."""
     values = (register, extract, annotate)
-    stamps = F.filter(F.array(*(F.when(v != "", F.concat(F.lit(f"{s}: "), v)) for s, v in zip(config.STAMPS, values))), lambda x: x.isNotNull())
-    new = F.concat(F.slice(rest, F.lit(1), end), stamps, F.slice(rest, end + 1, F.size(rest)))
-    broken = ((extract != "") & (register == "")) | ((annotate != "") & (extract == ""))
-    return F.when(~broken, F.array_join(new, "\n"))
+    stamps = F.concat(*(F.when(v != "", F.concat(F.lit(f"{s}: "), v, F.lit("\n"))).otherwise("") for s, v in zip(config.STAMPS, values)))
+    broken = ((extract != "") & (register == "")) | ((annotate != "") & (extract == "")) | ((stamps != "") & (head(text) == ""))
+    return F.when(~broken, F.concat(_bare(text), stamps, rest(text)))
 
 
 def stamp_guard(old: Column, new: Column, register: Column, extract: Column, annotate: Column) -> Column:
@@ -91,17 +86,13 @@ def stamp_guard(old: Column, new: Column, register: Column, extract: Column, ann
 
 
 def with_reviewed(text: Column, hids: Column) -> Column:
-    """``text`` with the sorted distinct ``hids`` as its reviewed line, before the stamps; without one if none."""
-    lines = lines_of(text)
-    end = F.coalesce(fence(lines), F.lit(0))
-    rest = F.filter(lines, lambda x, i: ~((i < end) & x.startswith(REVIEWED)))
-    end = F.coalesce(fence(rest), F.lit(0))
-    head = F.slice(rest, F.lit(1), end)
-    # stamps right before the fence stay behind the line
-    at = end - F.aggregate(F.reverse(head), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["n"] + (a["go"] & _is_stamp(x)).cast("int")).alias("n"), (a["go"] & _is_stamp(x)).alias("go")), lambda a: a["n"])
+    """``text`` with the sorted distinct ``hids`` as its reviewed line, before the stamps that end its front matter;
+    without one if there are none, and unchanged without front matter."""
+    bare = F.regexp_replace(head(text), f"(?md)^{REVIEWED}.*\\n", "")
+    stamps = F.regexp_extract(bare, f"(?md)((?:^{STAMP_LINE})*)\\z", 1)
     ids = F.array_sort(F.array_distinct(hids))
-    new = F.concat(F.slice(rest, F.lit(1), at), F.array(F.concat(F.lit(f"{REVIEWED} "), F.array_join(ids, " "))), F.slice(rest, at + 1, F.size(rest)))
-    return F.array_join(F.when(F.size(ids) > 0, new).otherwise(rest), "\n")
+    line = F.when((F.size(ids) > 0) & (bare != ""), F.concat(F.lit(f"{REVIEWED} "), F.array_join(ids, " "), F.lit("\n"))).otherwise("")
+    return F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(stamps)), line, stamps, rest(text))
 
 
 def scope(register: Column, extract: Column, annotate: Column, full: bool = False, again: bool = False) -> Column:

@@ -46,20 +46,23 @@ def trigrams(text: str) -> list[str]:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """Rows (gram, section_id): every distinct trigram of a section's indexed columns, in lower case.
+    """Rows (gram, section_id): every distinct trigram of a section's indexed columns, in lower case, by its hash.
 
     To be stored sorted by gram: a query then reads the row groups of its phrases' trigrams only.
     """
     every = F.concat_ws("\x01", *(F.lower(T.text(c)) for c in COLUMNS))
-    return rows.select("section_id", F.explode(F.array_distinct(T.shingles(every, 3, "[^\\x01]"))).alias("gram")).select("gram", "section_id")
+    grams = rows.select("section_id", F.explode(T.shingles(every, 3, "[^\\x01]")).alias("gram"))
+    return grams.select(F.hash("gram").alias("gram"), "section_id").distinct()
 
 
 def candidates(lists: DataFrame, phrases: list[str]) -> DataFrame:
-    """Sections (section_id) that hold all trigrams of any of the phrases, from stored ``postings``."""
+    """Sections (section_id) that hold all trigrams of any of the phrases, from stored ``postings`` (by their hashes:
+    what is found is counted in the text afterwards)."""
     wanted = {p: trigrams(p) for p in phrases if len(p) >= 3}
     every = sorted({g for gs in wanted.values() for g in gs})
-    met = lists.filter(F.col("gram").isin(every)).groupBy("section_id").agg(F.collect_set("gram").alias("grams"))
-    some = reduce(lambda a, b: a | b, (F.size(F.array_intersect("grams", F.array(*map(F.lit, gs)))) == len(gs) for gs in wanted.values()), F.lit(False))
+    met = lists.filter(F.col("gram").isin(*(F.hash(F.lit(g)) for g in every))).groupBy("section_id").agg(F.collect_set("gram").alias("grams"))
+    has = lambda gs: reduce(lambda a, b: a & b, (F.array_contains("grams", F.hash(F.lit(g))) for g in gs))
+    some = reduce(lambda a, b: a | b, map(has, wanted.values()), F.lit(False))
     return met.filter(some).select("section_id")
 
 
@@ -85,6 +88,16 @@ def bm25(rows: DataFrame, variants: list[str], limit: int = config.PATH_LIMIT, l
     return scored.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("list_no", "variant", "path", "section_id", "f", "n", "score", "rank")
 
 
+#: Characters of an index from which a search goes through the trigram lists; a smaller one is scanned sooner.
+LISTS_FROM = 10**9
+
+
+def search(rows: DataFrame, variants: list[str], lists, limit: int = config.PATH_LIMIT) -> DataFrame:
+    """``bm25`` through the stored lists that ``lists`` gives, if the index is large; the rows are the same."""
+    total = rows.agg(F.sum("d")).first()[0] or 0
+    return bm25(rows, variants, limit, lists() if total >= LISTS_FROM else None)
+
+
 def rrf(ranked: DataFrame, penalised: DataFrame | None = None, k: int = config.RRF_K, factor: float = config.APPENDIX_FACTOR) -> DataFrame:
     """Fuse rows (list_no, section_id, rank) into (section_id, score, position).
 
@@ -99,23 +112,38 @@ def rrf(ranked: DataFrame, penalised: DataFrame | None = None, k: int = config.R
     return fused.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "_seen", "section_id"))).drop("_seen")
 
 
+def positions(text: Column, word: str) -> Column:
+    """0-based starts of a word in a text, overlaps included.
+
+    A word that can't overlap itself is found by splitting at it, in one pass; others place by place.
+    """
+    n = len(word)
+    if any(word[:k] == word[-k:] for k in range(1, n)):
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(F.filter(places, lambda i: F.substring(text, i, F.lit(n)) == word), lambda i: i - 1)
+    parts = F.split(text, "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>")
+    step = lambda a, x: F.struct((a["at"] + F.length(x) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x))).alias("out"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda a: a["out"])
+
+
 def spans(body: Column, word: str) -> Column:
     """Occurrences (s, e) of a word, overlaps included; only if there is none, of its letters with white space between."""
-    plain = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - len(word) + 1, F.lit(1))), lambda i: F.struct((i - 1).alias("s"), (i - 1 + len(word)).alias("e"))), lambda x: F.substring(body, x["s"] + 1, F.lit(len(word))) == word)
-    letters = "".join(word.split())
-    return F.when(body.contains(word), plain).otherwise(folded_spans(body, letters))
+    plain = F.transform(positions(body, word), lambda i: F.struct(i.alias("s"), (i + len(word)).alias("e")))
+    return F.when(body.contains(word), plain).otherwise(folded_spans(body, "".join(word.split())))
 
 
 def folded_spans(body: Column, letters: str) -> Column:
     """Occurrences of ``letters`` with any white space between them, mapped to places in ``body``."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
     if not letters:
-        return F.array().cast("array<struct<s:int,e:int>>")
+        return none
     chars = F.filter(F.transform(F.split(body, ""), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda c: ~c["x"].rlike(T.SPACE) & (c["x"] != ""))
-    folded = T.fold(body)
     n = len(letters)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(folded) - n + 1, F.lit(1))), lambda i: F.substring(folded, i, F.lit(n)) == letters)
-    mapped = F.transform(at, lambda i: F.struct(F.get(chars, i - 1)["i"].alias("s"), (F.get(chars, i + n - 2)["i"] + 1).alias("e")))
-    return F.when(folded.contains(letters), mapped).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    # bound once, as the only item of an array: within the mapping they aren't computed again
+    once = F.array(F.struct(positions(T.fold(body), letters).alias("at"), F.transform(chars, lambda c: c["i"]).alias("i")))
+    mapped = F.flatten(F.transform(once, lambda o: F.transform(o["at"], lambda k: F.struct(F.get(o["i"], k).alias("s"), (F.get(o["i"], k + n - 1) + 1).alias("e")))))
+    return F.when(T.fold(body).contains(letters), mapped).otherwise(none)
 
 
 def windows(found: DataFrame, body_length: Column, radius: int = config.WINDOW_RADIUS, most: int = config.MAX_WINDOWS, budget: int = config.BODY_CHARS) -> DataFrame:

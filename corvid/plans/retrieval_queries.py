@@ -11,7 +11,7 @@ from corvid.operators import retrieval as R
 from corvid.operators import sections as S
 from corvid.operators import sync
 from corvid.plans.queries import query
-from corvid.plans.tables import literal, sql_fold, sql_strip, table, values
+from corvid.plans.tables import literal, source, sql_fold, sql_strip, table, values
 
 #: Sections of the flat documents in SQL, as CTEs ``chunk`` and ``sec``.
 CHUNKS = f"""WITH RECURSIVE blk AS (
@@ -47,13 +47,12 @@ def index(spark, sf_dir):
 
 def stored_index(spark, sf_dir):
     """The index as a stored table with the sections' lengths, built once and again when the documents' files change."""
-    docs = table(spark, sf_dir, "documents")
-    return built("index", docs, lambda: S.index_rows(docs).withColumn("d", R.length()))
+    return built("index", source(spark, sf_dir, "documents"), lambda: index(spark, sf_dir).withColumn("d", R.length()))
 
 
 def stored_postings(spark, sf_dir):
     """The index's trigram lists, sorted by trigram, built with it."""
-    return built("postings", table(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram", "section_id"])
+    return built("postings", source(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram", "section_id"])
 
 
 @query("q_flat_chunks", CHUNKS + "SELECT doc_id, k::INTEGER AS k, body FROM chunk")
@@ -232,7 +231,7 @@ def render_units(spark, sf_dir):
 def search_evidence(spark, sf_dir):
     """The whole question-to-evidence plan: variants, two paths, fusion, the best eight, their evidence."""
     rows = stored_index(spark, sf_dir)
-    best = R.rrf(R.bm25(rows, VARIANTS, lists=stored_postings(spark, sf_dir)), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
+    best = R.rrf(R.search(rows, VARIANTS, lambda: stored_postings(spark, sf_dir)), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
     return R.deliver(rows.join(F.broadcast(best.select("section_id", "position")), "section_id"), VARIANTS).join(F.broadcast(best), "section_id")
 
 

@@ -124,10 +124,11 @@ def test_citations(spark):
     assert {r.section_id for r in R.citations(rows).collect()} == {"보고서-1_c2s3", "x_c1"}
 
 
-@pytest.mark.parametrize("few", [10, 0])
-def test_passages_of_any_length(spark, monkeypatch, few):
+@pytest.mark.parametrize(("loop", "few"), [(10, 0), (0, 10), (0, 0)])
+def test_passages_of_any_length(spark, monkeypatch, loop, few):
     from corvid.operators import checks
 
+    monkeypatch.setattr(checks, "LOOP", loop)
     monkeypatch.setattr(checks, "FEW", few)
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "over the qu ick brown"), (3, ""), (4, None)], "doc_id long, text string")
     needles = spark.createDataFrame([(1, "quick  brown fox"), (2, "the quick brown"), (3, "ov er"), (4, ""), (5, None), (6, "x")], "item_id long, text string")
