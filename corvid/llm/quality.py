@@ -117,9 +117,9 @@ def clean(docs: DataFrame, share: float = MAX_SHARE, least: int = MIN_TEXTS) ->
     split = F.filter(F.split("_text", "\n"), lambda x: x.rlike(A_WORD))
     lines = keyed.select("_host", F.xxhash64("_text").alias("_text_id"), F.transform(split, lambda x: F.struct(line_hash(x).alias("h"))).alias("_lines"))
     common = scratch(common_lines(lines, share, least), "common-lines")
-    # written once, so that the verdict's expressions read the base figures instead of repeating them
-    rows = scratch(with_base(keyed).drop("text"), "quality-base")
-    rows = verdict(rows.join(bounded(common), "_host", "left")).filter("kept")
+    # a number that Spark can't compute twice alike: no filter passes it, so the base figures are computed once
+    rows = with_base(keyed).drop("text").withColumn("_once", F.monotonically_increasing_id())
+    rows = verdict(rows.join(bounded(common), "_host", "left")).filter("kept and _once >= 0")
     stays = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~(x.rlike(A_WORD) & F.array_contains("_common", line_hash(x)))), "\n")
     rows = rows.withColumn("_new", F.when(F.col("n_removed_lines") > 0, stays).otherwise(F.col("_text")))
     return rows.withColumn("text", F.col("_new")).select(*columns)
