@@ -114,7 +114,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, most: int = 2, weights=WEIGHTS,
     used = used.withColumn("_slice", F.floor(F.col("position") * SLICES).cast("int"))
     used = running_total(used, ["_all"], "_slice", ["position", F.col("doc_id").asc_nulls_first(), "size"], "_one", "place").drop("_all", "_one", "_slice")
     rows = used.withColumn("place", F.col("place").cast("long")).unionByName(rows.filter("position is null").withColumn("place", F.lit(None).cast("long")))
-    return rows.repartitionByRange(F.col("place").asc_nulls_last()).sortWithinPartitions(F.col("place").asc_nulls_last(), "doc_id")
+    return rows.repartitionByRange(F.col("place").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("place").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, *, share: float = 1.5, most: int = 2, weights=WEIGHTS, shapes=SHAPES) -> DataFrame:
