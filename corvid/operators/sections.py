@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvid import config
 from corvid.functions import text as T
@@ -34,12 +36,54 @@ def chunks(blocks: Column, most: int = config.MAX_CHARS, least: int = config.MIN
     return F.aggregate(blocks, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(state), add, end)
 
 
-def flat_sections(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, k, n, section_id, body) of the documents' chunks; every line that isn't empty is a block."""
-    blocks = F.filter(F.split(T.text("text"), "\n"), lambda x: x != "")
-    rows = docs.select(*[c for c in docs.columns if c != "text"], chunks(blocks).alias("_chunks"))
-    rows = rows.select("*", F.size("_chunks").alias("n"), F.posexplode("_chunks").alias("_k", "body")).drop("_chunks")
-    return rows.withColumn("k", F.col("_k") + 1).withColumn("section_id", F.format_string("%d_c%d", "doc_id", "k")).drop("_k")
+def cut(text: str, most: int = config.MAX_CHARS, least: int = config.MIN_CHARS) -> list[str]:
+    """``chunks`` of a text's lines that aren't empty. An open chunk's blocks are joined once, when it ends: what
+    is measured is their size so far, less the white space at both ends."""
+    done, held, size = [], [], 0
+    for block in text.split("\n"):
+        if not block:
+            continue
+        longer = size + 2 + len(block)
+        if held and longer > most and len("\n\n".join([*held, block]).strip()) > most:
+            done.append("\n\n".join(held))
+            held, size = [block], len(block)
+        else:
+            size = longer if held else len(block)
+            held.append(block)
+    last = "\n\n".join(held)
+    if done and len(last.strip()) < least:
+        done[-1] += "\n\n" + last
+    elif held:
+        done.append(last)
+    return done
+
+
+#: Documents whose sections a worker holds at a time.
+AT_ONCE = 500
+
+
+def flat_sections(docs: DataFrame, folded: bool = False) -> DataFrame:
+    """Rows (doc_id, k, n, section_id, body) of the documents' chunks; every line that isn't empty is a block. With
+    ``folded`` also body_fold, the body without white space (Python's, as ``T.fold`` has it).
+
+    Arrow batches: as a fold of columns every block copies its chunk, and patterns go over every character.
+    """
+    others = [f for f in docs.schema.fields if f.name != "text"]
+
+    def cut_all(batches):
+        for whole in batches:
+            for part in (whole.slice(k, AT_ONCE) for k in range(0, whole.num_rows, AT_ONCE)):
+                found = [cut(t or "") for t in part.column("text").to_pylist()]
+                rows = part.drop_columns(["text"]).take(pa.array([r for r, c in enumerate(found) for _ in c], pa.int32()))
+                body = [b for c in found for b in c]
+                new = {"n": pa.array([len(c) for c in found for _ in c], pa.int32()), "body": pa.array(body, pa.string()), "k": pa.array([k for c in found for k in range(1, len(c) + 1)], pa.int32())}
+                if folded:
+                    new["body_fold"] = pa.array(["".join(b.split()) for b in body], pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new.values()], [*rows.schema.names, *new])
+
+    kinds = StructType(others[:]).add("n", "integer").add("body", "string").add("k", "integer")
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in others), "text").mapInArrow(cut_all, kinds.add("body_fold", "string") if folded else kinds)
+    return rows.withColumn("section_id", F.format_string("%d_c%d", "doc_id", "k"))
 
 
 def first_sentence(body: Column) -> Column:
@@ -50,7 +94,7 @@ def first_sentence(body: Column) -> Column:
 
 def index_rows(docs: DataFrame) -> DataFrame:
     """Index rows of flat documents. The last of several chunks stands in for an appendix: it has no summary."""
-    rows = flat_sections(docs)
+    rows = flat_sections(docs.select("doc_id", "lang", "source", "text"), folded=True)
     appendix = (F.col("n") > 1) & (F.col("k") == F.col("n"))
     return rows.select(
         "doc_id",
@@ -62,7 +106,7 @@ def index_rows(docs: DataFrame) -> DataFrame:
         F.format_string("구간 %d", "k").alias("section"),
         F.when(appendix, F.lit("")).otherwise(first_sentence(F.col("body"))).alias("summary"),
         "body",
-        T.fold("body").alias("body_fold"),
+        "body_fold",
         (F.lit(2000) + F.col("doc_id") % 25).cast("string").alias("year"),
         F.lit("").alias("lead_researcher"),
         F.col("source").alias("institution"),
