@@ -39,20 +39,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def built(name: str, source: DataFrame, build: Callable[[], DataFrame], **layout) -> DataFrame:
-    """The table that ``build`` makes of ``source``, kept while the source's files stay as they are.
+def built(name: str, source: DataFrame, build: Callable[[], DataFrame] | None, **layout) -> DataFrame | None:
+    """The table that ``build`` makes of ``source``, kept while the source's files stay as they are; without ``build``
+    None if there is none yet.
 
     What tells versions apart is the path, size and time of every file of the source; a changed file builds anew.
-    ``layout``: ``order``, columns by which the rows are range-sorted, so that row groups hold few of their values.
+    ``layout``: ``order``, columns by which each file's rows are sorted, so that its pages hold few of their values.
     """
     spark = source.sparkSession
     files = source.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("string").alias("t"))
     sign = files.distinct().agg(F.count("*"), F.sum(F.xxhash64("p", "n", "t").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, name, *source.inputFiles()[:1], *sign)
     if key not in _BUILT or not exists(spark, _BUILT[key][0]):
+        if build is None:
+            return None
         df, path = build(), shared_folder(spark)
         if order := layout.get("order"):
-            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            df = df.sortWithinPartitions(*order)
         df.write.parquet(path)
         _BUILT[key] = (path, df.schema)
     path, schema = _BUILT[key]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,25 +48,98 @@ def trigrams(text: str) -> list[str]:
     return sorted({text[k : k + 3] for k in range(len(text) - 2)})
 
 
+#: Characters of a segment of the lists (a bound of a worker's memory, some 200 MB), and the gram of its section names.
+SEGMENT, NAMES = 4_000_000, -1
+
+
+def gram_code(gram: str) -> int:
+    """A trigram as one number: three code points of 21 bits, so that different trigrams have different numbers."""
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+
+def segment_lists(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Codes of the texts' distinct trigrams in order, where each one's list begins, and the lists: the texts'
+    numbers in order. \x01 is in no trigram. None if so many texts of so many signs don't fit numbers of 63 bits."""
+    codes = np.frombuffer("\x01".join([*texts, "\x01"]).encode("utf-32-le"), "<u4")
+    there = np.zeros(0x110000, bool)
+    there[codes] = True
+    signs = np.flatnonzero(there).astype(np.int64)
+    b, w = (len(signs) - 1).bit_length(), (len(texts) - 1).bit_length()
+    if 3 * b + w > 63:
+        return None
+    small = np.cumsum(there)[codes] - 1
+    who = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(codes) - 2]
+    key = ((small[:-2] << b | small[1:-1]) << b | small[2:]) << w | who
+    key = np.unique(key[(codes[:-2] != 1) & (codes[1:-1] != 1) & (codes[2:] != 1)])
+    gram, at = key >> w, (key & ((1 << w) - 1)).astype(np.int32)
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    gram, mask = gram[starts], (1 << b) - 1
+    return signs[gram >> 2 * b] << 42 | signs[gram >> b & mask] << 21 | signs[gram & mask], starts, at
+
+
+def _segments(names: list[str], texts: list[str]):
+    """(names, lists) of sections as one segment, or as more where one doesn't fit."""
+    if (lists := segment_lists(texts)) is not None:
+        yield names, lists
+    else:
+        half = len(texts) // 2
+        yield from _segments(names[:half], texts[:half])
+        yield from _segments(names[half:], texts[half:])
+
+
+def _runs(batches):
+    """The sections (names, texts) of Arrow batches in runs of SEGMENT characters, one section at least."""
+    names, texts, size = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if texts and size + len(text) > SEGMENT:
+                yield names, texts
+                names, texts, size = [], [], 0
+            names.append(name)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield names, texts
+
+
 def postings(rows: DataFrame) -> DataFrame:
-    """Rows (gram, section_id): every distinct trigram of a section's indexed columns, in lower case, by its hash.
+    """Rows (gram, segment, at, names): for every distinct trigram of a segment's sections (of their indexed columns, in
+    lower case), the sections' numbers; and one row of the segment's section names, its gram being NAMES.
 
-    To be stored sorted by gram: a query then reads the row groups of its phrases' trigrams only.
+    Segments are runs of sections as they lie, so nothing is shuffled: each is sorted on its own. To be stored sorted
+    by gram in each partition: a query then reads the pages of its phrases' trigrams and of the names only. Arrow
+    batches, since Spark would make a row of every trigram of every section.
     """
     every = F.concat_ws("\x01", *(F.lower(T.text(c)) for c in COLUMNS))
-    grams = rows.select("section_id", F.explode(T.shingles(every, 3, "[^\\x01]")).alias("gram"))
-    return grams.select(F.hash("gram").alias("gram"), "section_id").distinct()
+    kinds = pa.schema([("gram", pa.int64()), ("segment", pa.int64()), ("at", pa.list_(pa.int32())), ("names", pa.list_(pa.string()))])
+
+    def lists(batches):
+        segment = TaskContext.get().partitionId() << 32
+        for run in _runs(batches):
+            for names, (gram, starts, at) in _segments(*run):
+                ends = np.append(starts, len(at)).astype(np.int32)
+                for k in range(0, len(gram), 10_000):
+                    n = min(10_000, len(gram) - k)
+                    found = pa.ListArray.from_arrays(pa.array(ends[k : k + n + 1] - ends[k]), pa.array(at[ends[k] : ends[k + n]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + n]), pa.array(np.full(n, segment)), found, pa.nulls(n, pa.list_(pa.string()))], schema=kinds)
+                yield pa.RecordBatch.from_pylist([{"gram": NAMES, "segment": segment, "names": names}], kinds)
+                segment += 1
+
+    return rows.select("section_id", every.alias("_text")).mapInArrow(lists, "gram long, segment long, at array<int>, names array<string>")
 
 
 def candidates(lists: DataFrame, phrases: list[str]) -> DataFrame:
-    """Sections (section_id) that hold all trigrams of any of the phrases, from stored ``postings`` (by their hashes:
-    what is found is counted in the text afterwards)."""
+    """Sections (section_id) that hold all trigrams of any of the phrases, from stored ``postings``."""
     wanted = {p: trigrams(p) for p in phrases if len(p) >= 3}
-    every = sorted({g for gs in wanted.values() for g in gs})
-    met = lists.filter(F.col("gram").isin(*(F.hash(F.lit(g)) for g in every))).groupBy("section_id").agg(F.collect_set("gram").alias("grams"))
-    has = lambda gs: reduce(lambda a, b: a & b, (F.array_contains("grams", F.hash(F.lit(g))) for g in gs))
-    some = reduce(lambda a, b: a | b, map(has, wanted.values()), F.lit(False))
-    return met.filter(some).select("section_id")
+    every = sorted({gram_code(g) for gs in wanted.values() for g in gs})
+    gram = F.col("gram")
+    # one test for each: a list of more than ten values would be read as a range
+    read = lists.filter(reduce(lambda a, b: a | b, (gram == g for g in every), gram == NAMES))
+    per = read.groupBy("segment").agg(F.first("names", True).alias("_names"), *(F.first(F.when(gram == g, F.col("at")), True).alias(f"_{g}") for g in every))
+    none = F.array().cast("array<int>")
+    hits = [F.coalesce(reduce(F.array_intersect, (F.col(f"_{gram_code(g)}") for g in gs)), none) for gs in wanted.values()]
+    found = per.select("_names", F.explode(reduce(F.array_union, hits, none)).alias("_at"))
+    return found.select(F.get("_names", F.col("_at")).alias("section_id"))
 
 
 def bm25(rows: DataFrame, variants: list[str], limit: int = config.PATH_LIMIT, lists: DataFrame | None = None) -> DataFrame:

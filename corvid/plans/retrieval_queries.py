@@ -51,8 +51,8 @@ def stored_index(spark, sf_dir):
 
 
 def stored_postings(spark, sf_dir):
-    """The index's trigram lists, sorted by trigram, built with it."""
-    return built("postings", source(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram", "section_id"])
+    """The index's trigram lists, sorted by trigram in each file, built with it."""
+    return built("postings", source(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram"])
 
 
 @query("q_flat_chunks", CHUNKS + "SELECT doc_id, k::INTEGER AS k, body FROM chunk")
