@@ -164,14 +164,10 @@ def bm25(rows: DataFrame, variants: list[str], limit: int = config.PATH_LIMIT, l
     return scored.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("list_no", "variant", "path", "section_id", "f", "n", "score", "rank")
 
 
-#: Characters of an index from which a search goes through the trigram lists; a smaller one is scanned sooner.
-LISTS_FROM = 10**9
-
-
 def search(rows: DataFrame, variants: list[str], lists, limit: int = config.PATH_LIMIT) -> DataFrame:
-    """``bm25`` through the stored lists that ``lists`` gives, if the index is large; the rows are the same."""
-    total = rows.agg(F.sum("d")).first()[0] or 0
-    return bm25(rows, variants, limit, lists() if total >= LISTS_FROM else None)
+    """``bm25`` through the stored lists that ``lists`` gives, if there are any; the rows are the same without. One
+    search doesn't build them: that takes longer than to scan the index."""
+    return bm25(rows, variants, limit, lists())
 
 
 def rrf(ranked: DataFrame, penalised: DataFrame | None = None, k: int = config.RRF_K, factor: float = config.APPENDIX_FACTOR) -> DataFrame:

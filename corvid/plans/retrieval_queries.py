@@ -50,9 +50,10 @@ def stored_index(spark, sf_dir):
     return built("index", source(spark, sf_dir, "documents"), lambda: index(spark, sf_dir).withColumn("d", R.length()))
 
 
-def stored_postings(spark, sf_dir):
-    """The index's trigram lists, sorted by trigram in each file, built with it."""
-    return built("postings", source(spark, sf_dir, "documents"), lambda: R.postings(stored_index(spark, sf_dir)), order=["gram"])
+def stored_postings(spark, sf_dir, build: bool = True):
+    """The index's trigram lists, sorted by trigram in each file, built with it; without ``build`` None if they aren't."""
+    make = (lambda: R.postings(stored_index(spark, sf_dir))) if build else None
+    return built("postings", source(spark, sf_dir, "documents"), make, order=["gram"])
 
 
 @query("q_flat_chunks", CHUNKS + "SELECT doc_id, k::INTEGER AS k, body FROM chunk")
@@ -231,7 +232,7 @@ def render_units(spark, sf_dir):
 def search_evidence(spark, sf_dir):
     """The whole question-to-evidence plan: variants, two paths, fusion, the best eight, their evidence."""
     rows = stored_index(spark, sf_dir)
-    best = R.rrf(R.search(rows, VARIANTS, lambda: stored_postings(spark, sf_dir)), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
+    best = R.rrf(R.search(rows, VARIANTS, lambda: stored_postings(spark, sf_dir, build=False)), rows.filter("summary = ''").select("section_id")).filter(F.col("position") <= config.TOP_SECTIONS)
     return R.deliver(rows.join(F.broadcast(best.select("section_id", "position")), "section_id"), VARIANTS).join(F.broadcast(best), "section_id")
 
 
