@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions import text as T
+from corvid.functions.store import stored
 
 STEM = r"^(\d{4}-\d{2})(?:-([b-z]))?(?:-v(\d{1,2}))?\z"
 PAGES = r"^(\d+)-(\d+)\z"
@@ -85,21 +86,50 @@ def next_free(rows: DataFrame) -> DataFrame:
     return used.select("family", F.element_at(F.array_except(letters, "_letters"), 1).alias("letter"), F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_volumes") + 1), "_volumes")).alias("volume"))
 
 
+#: Words of a title up to which its sets of words are listed (3 to the power of it at most).
+MOST = 6
+
+
 def similar(rows: DataFrame, k: int = 3) -> DataFrame:
     """For each row (id, title) the ``k`` others whose title shares words with its own, by shared characters, then id.
 
     A word counts if it is a title word of either side and stands anywhere in the other title, also inside a longer
-    word. Words are matched through their three-character pieces and verified, so no titles are paired without cause;
-    ``k`` is the size of the report.
+    word; ``k`` is the size of the report. Words meet titles through their three-character pieces and are verified.
+
+    Titles that share a word are not paired: a title is offered under every set of its words, marked where it must be
+    the one whose title word it is, and only the first ``k`` + 1 ids of a set are kept. One that shares exactly this set
+    and isn't among them has ``k`` others before it, which share no less. Titles of more than MOST words that others
+    hold, too, are paired word by word.
     """
     pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))))
-    titles = rows.select("id", T.text("title").alias("title")).distinct()
-    words = titles.select("id", F.explode(T.title_tokens("title")).alias("word"))
-    places = titles.filter(F.length("title") >= 3).select(F.col("id").alias("other"), "title", pieces(F.col("title")).alias("piece"))
+    titles = rows.select("id", T.text("title").alias("title")).distinct().withColumn("_own", T.title_tokens("title"))
     # a word's first three characters are one of the pieces of every title that holds it
-    held = words.withColumn("piece", F.substring("word", 1, 3)).join(places, "piece").filter((F.col("id") != F.col("other")) & F.col("title").contains(F.col("word")))
-    held = held.select("id", "other", "word")
-    both = held.unionByName(held.select(F.col("other").alias("id"), F.col("id").alias("other"), "word")).distinct()
-    shared = both.groupBy("id", "other").agg(F.sum(F.length("word")).alias("shared"))
+    words = titles.select(F.explode("_own").alias("word")).distinct().withColumn("piece", F.substring("word", 1, 3))
+    places = titles.filter(F.length("title") >= 3).select("id", "title", "_own", pieces(F.col("title")).alias("piece"))
+    met = places.join(words, "piece").filter(F.col("title").contains(F.col("word")))
+    held = stored(met.groupBy("id", "word").agg(F.max(F.array_contains("_own", F.col("word"))).alias("own")))
+    common = held.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
+    profile = stored(held.join(common, "word", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "own"))).alias("_w")))
+
+    def sets(marks):
+        none = F.array().cast("array<string>")
+        longer = lambda found, x: [F.when(test, F.transform(found, lambda t: F.concat(t, x["word"], F.lit(mark)))).otherwise(none) for mark, test in marks(x)]
+        every = F.aggregate("_w", F.array(F.lit("")), lambda found, x: F.concat(found, *longer(found, x)))
+        return F.explode(F.filter(every, lambda t: t != "")).alias("key")
+
+    # "!": whoever is found must have it as a title word; "?": that doesn't matter
+    few = profile.filter(F.size("_w") <= MOST)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    offered = few.select("id", "_w", sets(lambda x: [("?", F.lit(True)), ("!", x["own"])])).withColumn("_first", first).filter(F.col("_first") <= k + 1)
+    asked = few.select("id", "_w", sets(lambda x: [("?", x["own"]), ("!", ~x["own"])]))
+    found = asked.join(offered.select("key", F.col("id").alias("other"), F.col("_w").alias("_v")), "key").select("id", "_w", "other", "_v")
+    many = F.size("_w") > MOST
+    if not profile.filter(many).isEmpty():
+        one = profile.select("id", "_w", many.alias("_many"), F.explode("_w").alias("x")).select("*", "x.word")
+        two = one.select("word", F.col("id").alias("other"), F.col("_w").alias("_v"), F.col("_many").alias("_more"), F.col("x").alias("y"))
+        found = found.unionByName(one.join(two, "word").filter((F.col("_many") | F.col("_more")) & (F.col("x.own") | F.col("y.own"))).select("id", "_w", "other", "_v"))
+    both = F.filter("_w", lambda x: F.exists("_v", lambda y: (x["word"] == y["word"]) & (x["own"] | y["own"])))
+    shared = F.aggregate(both, F.lit(0).cast("long"), lambda n, x: n + F.length(x["word"]))
+    pairs = found.filter("id <> other").select("id", "other", shared.alias("shared")).distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))
-    return shared.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -139,3 +139,33 @@ def test_query_runs(spark, name):
 def test_contract(spark):
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and set(catalogue.queries()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("most", [0, 2, 6])
+def test_similar_titles_without_pairing_all(spark, monkeypatch, most):
+    import random
+    import re
+
+    from corvid import config
+    from corvid.operators import registry
+
+    monkeypatch.setattr(registry, "MOST", most)
+    rng = random.Random(5)
+    parts = ["가나다", "가나다라", "나다라", "마바사아", "가나다라마바", "보고서", "자차"]
+    titles = {k: " ".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for k in range(60)}
+    words = {k: {w for w in re.findall("[가-힣]{3,}", t) if w not in config.TITLE_STOP} for k, t in titles.items()}
+    want = set()
+    for a in titles:
+        shared = {b: sum(len(w) for w in words[a] | words[b] if (w in words[a] and w in titles[b]) or (w in words[b] and w in titles[a])) for b in titles if b != a}
+        for rank, b in enumerate(sorted((b for b in shared if shared[b]), key=lambda b: (-shared[b], b))[:3], 1):
+            want.add((a, b, shared[b], rank))
+    got = registry.similar(spark.createDataFrame(list(titles.items()), "id long, title string"))
+    assert got.columns == ["id", "other", "shared", "rank"] and {tuple(r) for r in got.collect()} == want
+
+
+def test_similar_titles_of_one_word_are_not_paired(spark):
+    from corvid.operators import registry
+
+    rows = spark.range(4000).selectExpr("id", "'가나다라' AS title")
+    got = registry.similar(rows)
+    assert got.groupBy("other").count().count() == 4 and got.count() == 12000
