@@ -169,3 +169,16 @@ def test_similar_titles_of_one_word_are_not_paired(spark):
     rows = spark.range(4000).selectExpr("id", "'가나다라' AS title")
     got = registry.similar(rows)
     assert got.groupBy("other").count().count() == 4 and got.count() == 12000
+
+
+def test_report_rows_make_their_documents_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(k, f"# A <!-- id: {k}_c1 -->\n" + "x" * 300) for k in range(5)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    assert {(r.doc_id, r.hid, r.body) for r in S.report_rows(docs).collect()} == {(k, f"{k}_c1", "x" * 300) for k in range(5)}
+    assert made.value == 5
