@@ -16,11 +16,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import bpe, lines, mixing, quality, simhash
-from corvid.llm.common import cleared, documents
+from corvid.llm.common import cleared, documents, scratch, small_batches
 
 #: Words of a line that goes as a later copy even if no line beside it is repeated.
 LONG_LINE = 50
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes, roughly, of what a worker of the last stage remembers: the executor's heap has grown in the stages before it.
+REMEMBERED = 64 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each use of a document; ids_sha256 and decoded_sha256 are digests of the ids and of what they decode to."""
     raw = bpe.vocabulary_file(public_tokenizers.path(VOCABULARY))
-    return bpe.digests(docs, raw, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    found = bpe.digests(docs, raw, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), remembered=REMEMBERED)
+    with small_batches(spark):  # holds for what is planned here, so the digests are written here
+        return scratch(found, "encoded")
 
 
 STAGES = [

@@ -30,6 +30,8 @@ from corvid.llm.common import release
 REMEMBERED = 128 << 20
 #: Pieces longer than this are encoded on their own; shorter ones together, position by position.
 TOGETHER = 192
+#: Bytes, roughly, of short pieces whose tables are made together: every token found in them is held, 24 bytes each.
+AT_ONCE = 1 << 17
 #: Characters of text that are worked on together.
 GROUP = 1 << 20
 #: Tokens of which the edges are remembered.
@@ -330,9 +332,13 @@ class Encoder:
                 out[text] = array("I", read_back(self.v, last)).tobytes()
             else:
                 short.append((text, data))
-        for at in range(0, len(short), 1 << 16):
-            part = short[at : at + (1 << 16)]
-            out.update(zip([t for t, _ in part], together(self.v, [d for _, d in part])))
+        part, size = [], 0
+        for k, (_, data) in enumerate(short, 1):
+            part.append(data)
+            size += len(data)
+            if size >= AT_ONCE or k == len(short):
+                out.update(zip([t for t, _ in short[k - len(part) : k]], together(self.v, part)))
+                part, size = [], 0
         return out
 
     def of_pieces(self, wanted: set[str]) -> dict[str, bytes]:

@@ -75,6 +75,21 @@ def cleared() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
         _MADE.reset(token)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What is written within this block goes to Python in Arrow batches of at most ``rows`` rows.
+
+    A batch is held by the executor and by its worker, both in buffers of up to twice its size.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` has at most ``rows`` rows; else leave it to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,9 +8,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corvid.llm import bpe, digest, licenses, lines, mixing, paragraphs, quality, sharding, simhash, suffixes
+from corvid.llm import bpe, common, digest, licenses, lines, mixing, paragraphs, quality, sharding, simhash, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,6 +50,36 @@ def test_bpe_equals_the_public_encoder(spark, vocabulary):
         assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_memory_of_many_new_pieces(vocabulary):
+    import tracemalloc
+
+    rng = random.Random(3)
+    pieces = ["".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(40_000)]
+    encoder = bpe.Encoder(bpe.Vocabulary.parse(vocabulary[0]), re.compile(r"\S+|\s+"))
+    tracemalloc.start()
+    try:
+        found = encoder.computed(pieces)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - held < 40 << 20  # all at once: 24 bytes and their copies for each of some 1.5 million tokens
+    table = encoder.v.bytes_of
+    assert all(bpe.decode_ids(found[x], table).decode() == x for x in pieces[::100])
+    assert all(found[x] == encoder.computed([x])[x] for x in pieces[::4000])
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.small_batches(spark, 100):
+        rows = common.scratch(spark.range(0, 950, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert sorted(r.n for r in rows.collect()) == [50, *[100] * 9] and spark.conf.get(name) == before
+
+
 def test_prefix_table_appends_and_edits(vocabulary):
     v = bpe.Vocabulary.parse(vocabulary[0])
     rng = random.Random(1)
