@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid import config
 from corvid.functions import text as T
 from corvid.operators.pages import TEMPLATE, is_leader
 
@@ -50,11 +51,13 @@ def uncovered(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     Blank lines, leaders and a template's residue are left out, as they don't go into a document.
     """
-    folded = T.fold("text")
     template = F.lit(False)
     for t in TEMPLATE:
-        template = template | folded.contains(t)
-    needles = lines.filter(~is_leader("text") & ~template).select("doc_id", "page", "line", "text", T.fold_glyphs("text").alias("_needle")).filter("_needle <> ''")
+        template = template | F.col("_folded").contains(t)
+    # generated, and so folded once a line: a filter on a selected column would be pushed down and fold for each use
+    once = F.inline(F.array(F.struct(T.fold("text").alias("_folded"), is_leader("text").alias("_leader"))))
+    rows = lines.select("doc_id", "page", "line", "text", once).filter(~F.col("_leader") & ~template)
+    needles = rows.select("doc_id", "page", "line", "text", F.translate("_folded", config.GLYPHS, "").alias("_needle")).filter("_needle <> ''")
     hay = docs.select("doc_id", T.fold_glyphs("text").alias("_hay"))
     return needles.join(hay, "doc_id").select("doc_id", "page", "line", "text", F.col("_hay").contains(F.col("_needle")).alias("covered"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from corvid.operators import judge
+from corvid.operators import checks, judge
 from corvid.operators import sections as S
 from corvid.operators import structure
 from corvid.operators.registry import sort_key
@@ -182,3 +182,10 @@ def test_report_rows_make_their_documents_once(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"# A <!-- id: {k}_c1 -->\n" + "x" * 300) for k in range(5)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
     assert {(r.doc_id, r.hid, r.body) for r in S.report_rows(docs).collect()} == {(k, f"{k}_c1", "x" * 300) for k in range(5)}
     assert made.value == 5
+
+
+def test_coverage_folds_each_line_once(spark):
+    lines = [(1, 0, 0, "a  b"), (1, 0, 1, "a b .... 3"), (1, 0, 2, " □ "), (1, 0, 3, "편집 순서 1"), (1, 1, 0, "□ 없 다"), (1, 1, 1, None), (2, 0, 0, "x")]
+    found = checks.uncovered(spark.createDataFrame(lines, "doc_id long, page int, line int, text string"), spark.createDataFrame([(1, "xa b\n"), (3, "x")], "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, "a  b", True), (1, 1, 0, "□ 없 다", False)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2  # of the line and of the document
